@@ -73,9 +73,12 @@ def _forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(prints: DataFrame, most_in_bucket: int = 4096) -> DataFrame:
+def links(prints: DataFrame, most_in_bucket: int = 4096, most_bits: int = golay.MOST_BITS) -> DataFrame:
     """(a, b): links between the distinct fingerprints of prints that connect all at 4 or fewer differing bits.
 
+    With most_bits over 4, those at up to so many bits that share a key are
+    linked too; only for 4 is it sure that a key is shared.
+
     Every fingerprint is dealt out under its Golay keys. A key's fingerprints
     are compared in its task and give a forest of verified links, not all
     pairs. Keys of more than most_in_bucket fingerprints are found beforehand;
@@ -104,7 +107,7 @@ def links(prints: DataFrame, most_in_bucket: int = 4096) -> DataFrame:
         last_k, last = None, np.zeros(0, np.int64)
 
         def linked(groups: list[np.ndarray]) -> pa.RecordBatch:
-            found = [p for g in groups for p in _forest(g, golay.MOST_BITS)]
+            found = [p for g in groups for p in _forest(g, most_bits)]
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -167,5 +170,97 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return out.withColumnRenamed("key", key)
 
 
+def shingles(text: bytes, words: int) -> set[bytes]:
+    """Word shingles of a text, A-Z lower-cased; fewer words are one shingle."""
+    ws = text.lower().split()
+    return {b" ".join(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1))} if ws else set()
+
+
+def word_set_print(text: bytes, seed: int) -> int:
+    """SimHash of the different words of a text, as stored in a long.
+
+    A changed word changes one feature here and five shingles there, so texts
+    that share 0.8 of their shingles of five words are within a few bits.
+    """
+    from xxhash import xxh64_intdigest
+
+    ws = set(text.lower().split())
+    if not ws:
+        return 0
+    h = np.fromiter((xxh64_intdigest(w, seed) for w in ws), np.uint64, len(ws))
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(h), 65_536):
+        counts += np.unpackbits(h[i : i + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
+
+
+def similar_texts(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    words: int = 5,
+    least: float = 0.8,
+    seeds: tuple[int, ...] = (42, 43),
+    most_bits: int = 8,
+    most_in_bucket: int = 4096,
+    most_sent: int = 1_000_000,
+) -> DataFrame:
+    """key, text_key and component_id of each row: groups of texts linked by a similarity of `least` or more.
+
+    Similarity is the share of word shingles that two texts have in common
+    (Jaccard); texts of no words are like each other. Candidates are links of
+    word-set fingerprints, one for each seed, found through their Golay keys;
+    texts of one fingerprint are compared with the first of them. Every candidate
+    pair is verified on the whole texts before it links. A text is a node
+    however many rows have it; component_id is the smallest key of a group.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    kind = docs.schema[key].dataType.simpleString()
+    names = [f"f{i}" for i in range(len(seeds))]
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [[word_set_print(t, s) for s in seeds] for _, texts in chunks(batch, 2) for t in texts]
+            cols = [pa.array(c, pa.int64()) for c in zip(*own, strict=True)] if own else [pa.array([], pa.int64())] * len(seeds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["key", "text_key", *names])
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("text_key"), body.alias("text"))
+    rows = write_shared(own.mapInArrow(prints, f"key {kind}, text_key long, " + ", ".join(f"{n} long" for n in names)), "word-prints")
+    texts = rows.drop("key").distinct()
+    pairs = None
+    for name in names:
+        nodes = write_shared(texts.groupBy(F.col(name).alias("fingerprint")).agg(F.min("text_key").alias("one")), "nodes")
+        same = texts.join(nodes, texts[name] == nodes["fingerprint"]).where("text_key <> one").select(F.col("one").alias("a"), F.col("text_key").alias("b"))
+        a, b = (nodes.select(F.col("fingerprint").alias(c), F.col("one").alias(f"{c}_one")) for c in "ab")
+        near = links(nodes, most_in_bucket, most_bits).join(a, "a").join(b, "b").select(F.col("a_one").alias("a"), F.col("b_one").alias("b"))
+        both = same.unionByName(near)
+        pairs = both if pairs is None else pairs.unionByName(both)
+    pairs = write_shared(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+    wanted = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
+    if wanted.limit(most_sent + 1).count() <= most_sent:  # 8 bytes each; more are joined by a shuffle
+        wanted = F.broadcast(wanted)
+    compared = write_shared(own.select("text_key", "text").join(wanted, "text_key", "left_semi"), "compared").dropDuplicates(["text_key"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                s, t = shingles(x.as_py().encode(), words), shingles(y.as_py().encode(), words)
+                keep.append(len(s & t) >= least * len(s | t))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left = compared.select(F.col("text_key").alias("a"), F.col("text").alias("x"))
+    right = compared.select(F.col("text_key").alias("b"), F.col("text").alias("y"))
+    verified = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    roots = components(verified).withColumnRenamed("node", "text_key")
+    named = rows.select("key", "text_key").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
+    named = write_shared(named, "rooted")
+    least_key = named.groupBy("root").agg(F.min("key").alias("component_id"))
+    return named.join(least_key, "root").select(F.col("key").alias(key), "text_key", "component_id")
+
+
 def hex_digits(fingerprint: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
