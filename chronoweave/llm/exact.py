@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from chronoweave.llm.session import new_folder, write_shared
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every partition sets aside megabytes for its logs
+}
 
 
 def sha256(text: Column) -> Column:
@@ -37,8 +39,9 @@ def keyed_state(stream: DataFrame, key: str, folder: str) -> str:
     """
     spark = stream.sparkSession
     state = stream.groupBy("digest").agg(F.max(F.struct(F.col(key).alias("keep_key"), "locator")).alias("keep"), F.count("*").alias("n"))
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
@@ -47,7 +50,8 @@ def keyed_state(stream: DataFrame, key: str, folder: str) -> str:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     return f"{folder}/groups"
 
 
