@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,33 +33,38 @@ class Encoder:
     the end of a word are set aside first, so more stretches are alike.
     """
 
-    _mark = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
+    _mark = re.compile(rb"([.,])(?<=[a-z].)(?=\s|\Z)")
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 1_100_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known = _Known(self.tokenizer)
         self.plain = self._ids("Ab, Cd. Ef") == [i for w in ("ab", ",", "cd", ".", "ef") for i in self._ids(w)]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _split(self, text: bytes) -> list[bytes]:
-        if self.plain and b"<|" not in text:
-            text = self._mark.sub(rb" \1", text.lower())
-        return text.split()
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        known, split = self.known, list(map(self._split, texts))
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list({w for ws in split for w in ws})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        if len(self.known) > self.most:
+            self.known.clear()
+        find, out = self.known.__getitem__, []
+        for t in texts:
+            if self.plain and b"<|" not in t:
+                t = self._mark.sub(rb" \1", t.lower())
+            out.append(b"".join(map(find, t.split())))
+        return out
+
+
+class _Known(dict):
+    """Ids of stretches seen so far; others are encoded when they are first looked up."""
+
+    def __init__(self, tokenizer) -> None:
+        self.encode = tokenizer.encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = array("I", self.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        return ids
 
 
 def encoder(path: str) -> Encoder:
