@@ -6,7 +6,7 @@ wherever they start, have within their first v words a place that is a cover
 position in both texts. Hashing windows of size - v + 1 words at cover
 positions only (5 of 21 places) therefore gives every such pair an equal
 anchor. Passages around anchors that repeat are then extended: each window of
-`size` words over them is hashed in 128 bits, and those that repeat are the
+`size` words over them is hashed in 95 bits, and those that repeat are the
 repeated passages.
 """
 
@@ -76,55 +76,57 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _sent(keys: list[np.ndarray], places: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Keys and places to deal out, from those of one chunk of texts.
+def _dealt(h: np.ndarray, extra: np.ndarray, text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns h and tag of the rows to deal out, from those of one chunk of texts.
 
-    Of the rows that share their keys within the chunk only the first keeps
-    them; all are marked as known to repeat (lowest bit of the place), and the
-    others get keys of their own. So a passage of very many texts comes to the
-    task of its key once for each chunk.
+    tag packs extra (31 bits more of the hash), place and whether the row is
+    known to repeat. Of the rows that share h and extra within the chunk only the
+    first keeps them; all are marked as known, and the others get an h of their
+    own. So a passage of very many texts comes to the task of its hash once for
+    each chunk.
+    """
+    order = np.lexsort((extra, h))
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = (h[order][1:] == h[order][:-1]) & (extra[order][1:] == extra[order][:-1])
+    again, known = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    again[order], known[order] = same[:-1], same[:-1] | same[1:]
+    own = _mixed(text.view(np.uint64) ^ _mixed(place.astype(np.uint64) + np.uint64(1)))
+    return np.where(again, own, h).view(np.int64), extra.astype(np.int64) << 32 | place.astype(np.int64) << 1 | known
+
+
+def _repeated(dealt: DataFrame, places: list[str]) -> DataFrame:
+    """places and at of the rows of dealt (h, tag, places) that are known to repeat or whose hashes do.
+
+    Rows come sorted by hash, so one row is held at a time.
     """
-    order = np.lexsort(keys[::-1])
-    same = np.zeros(len(order), bool)
-    same[1:] = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
-    again = np.zeros(len(order), bool)
-    again[order] = same
-    known = again.copy()
-    first = np.zeros(len(order), bool)
-    first[:-1] = same[1:]
-    known[order[first]] = True
-    own = _mixed(places[0].view(np.uint64) ^ _mixed(places[-1].astype(np.uint64) + np.uint64(1)))
-    keys = [np.where(again, own, keys[0].view(np.uint64)).view(np.int64), *keys[1:]]
-    return keys, known
-
-
-def _repeated(dealt: DataFrame, keys: list[str], places: list[str]) -> DataFrame:
-    """places of the rows of dealt (keys, places, at = 2 * position + known) that are known to repeat or whose keys do."""
     kinds = ", ".join(f"{p} long" for p in places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple | None = None  # keys of the last row
-        waiting: pa.RecordBatch | None = None  # the last row, while nothing says that it repeats
-        n = len(keys)
+        held: pa.RecordBatch | None = None  # the last row, and whether it is known to repeat
+        held_found = False
+
+        def out(rows: pa.RecordBatch, found: np.ndarray) -> pa.RecordBatch:
+            at = (rows.column(1).to_numpy() & 0xFFFFFFFF) >> 1
+            cols = [*(rows.column(2 + i) for i in range(len(places))), pa.array(at.astype(np.int32))]
+            return pa.RecordBatch.from_arrays(cols, [*places, "at"]).filter(pa.array(found))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ks = [batch.column(i).to_numpy() for i in range(n)]
-            at = batch.column(batch.num_columns - 1).to_numpy()
-            same = np.zeros(batch.num_rows, bool)
-            same[1:] = np.logical_and.reduce([k[1:] == k[:-1] for k in ks])
-            same[0] = before == tuple(int(k[0]) for k in ks)
-            found = same | (at & 1 == 1)
-            found[:-1] |= same[1:]
-            if same[0] and waiting is not None:
-                yield waiting
-            before = tuple(int(k[-1]) for k in ks)
-            cols = [*(batch.column(n + i) for i in range(len(places))), pa.array(at >> 1)]
-            own = pa.RecordBatch.from_arrays(cols, [*places, "at"])
-            waiting = None if found[-1] else own.slice(batch.num_rows - 1)
-            yield own.filter(pa.array(found))
-
-    ordered = dealt.repartition(*keys).sortWithinPartitions(*keys)
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            h, tag = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            same = (h[1:] == h[:-1]) & (tag[1:] >> 32 == tag[:-1] >> 32)
+            found = tag & 1 == 1
+            if held is not None:
+                found[0] = held_found
+            found[1:] |= same
+            found[:-1] |= same
+            held, held_found = rows.slice(rows.num_rows - 1), bool(found[-1])
+            yield out(rows.slice(0, rows.num_rows - 1), found[:-1])
+        if held is not None:
+            yield out(held, np.array([held_found]))
+
+    ordered = dealt.repartition("h").sortWithinPartitions("h", "tag").select("h", "tag", *places)
     return ordered.mapInArrow(run, f"{kinds}, at int")
 
 
@@ -156,8 +158,14 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
         """rows with right, a row at most for each text; the shuffled texts are the same for every use."""
         return rows.join(right.hint("shuffle_hash"), ["k1", "k2"]).select("key", "k1", "k2", "text", *[c for c in right.columns if c not in ("k1", "k2")])
 
+    def only_one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows whose key (fourth column) is the one that stands for its text (fifth). Told here, for in the join it would be a key of its own and the texts would be shuffled again."""
+        same = [a == b for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        return batch.filter(pa.array(same, pa.bool_()))
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = only_one(batch)
             k1s = batch.column(0).to_numpy()
             for first, texts in chunks(batch, 2):
                 hs, ks, ps = [], [], []
@@ -171,16 +179,18 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
                     ps.append(p)
                     ks.append(np.full(len(p), k1, np.int64))
                 if hs:
-                    h, k, p = np.concatenate(hs).view(np.int64), np.concatenate(ks), np.concatenate(ps)
-                    (h,), known = _sent([h], [k, p])
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k), pa.array((p * 2 + known).astype(np.int32))], ["h", "k1", "at"])
+                    k = np.concatenate(ks)
+                    h, p = np.concatenate(hs), np.concatenate(ps)
+                    h, tag = _dealt(h, np.zeros(len(h), np.int64), k, p)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(tag), pa.array(k)], ["h", "tag", "k1"])
 
-    searched = joined(counts).where(F.col("key").eqNullSafe(F.col("one"))).select("k1", "k2", "text")
-    marks = _repeated(searched.mapInArrow(anchors, "h long, k1 long, at int"), ["h"], ["k1"])
+    searched = joined(counts).select("k1", "k2", "text", "key", "one")
+    marks = _repeated(searched.mapInArrow(anchors, "h long, tag long, k1 long"), ["k1"])
     marked = marks.groupBy("k1").agg(F.collect_set("at").alias("marks"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = only_one(batch)
             k1s, k2s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, texts in chunks(batch, 2):
                 cols: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -188,7 +198,7 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
                     ws = t.split()
                     if len(ws) < size:
                         continue
-                    p = batch.column(3)[r].values.to_numpy()
+                    p = batch.column(5)[r].values.to_numpy()
                     p = p[p <= len(ws) - length]
                     n = len(ws) - size + 1
                     edge = np.zeros(n + 1, np.int64)
@@ -200,11 +210,11 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
                         c.append(x)
                 if cols[0]:
                     a, b, k1, k2, s = map(np.concatenate, cols)
-                    (a, b), known = _sent([a.view(np.int64), b.view(np.int64)], [k1, s])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(k1), pa.array(k2), pa.array((s * 2 + known).astype(np.int32))], ["a", "b", "k1", "k2", "at"])
+                    h, tag = _dealt(a, (b >> np.uint64(33)).astype(np.int64), k1, s)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(tag), pa.array(k1), pa.array(k2)], ["h", "tag", "k1", "k2"])
 
-    near = joined(counts.join(marked, "k1").select("k1", "k2", "one", "marks")).where(F.col("key").eqNullSafe(F.col("one"))).select("k1", "k2", "text", "marks")
-    again = _repeated(near.mapInArrow(windows, "a long, b long, k1 long, k2 long, at int"), ["a", "b"], ["k1", "k2"])
+    near = joined(counts.join(marked, "k1").select("k1", "k2", "one", "marks")).select("k1", "k2", "text", "key", "one", "marks")
+    again = _repeated(near.mapInArrow(windows, "h long, tag long, k1 long, k2 long"), ["k1", "k2"])
     starts = again.groupBy("k1", "k2").agg(F.collect_set("at").alias("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
