@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from chronoweave.model import NOW
-from chronoweave.operators.temporal import ENTITY, bucket, clip, coalesce_equal, drop_invalid, length
+from chronoweave.operators.temporal import ENTITY, bucket, clip, coalesce_equal, drop_invalid, length, points_to_intervals
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], width: int, t0: int, t1: int) -> DataFrame:
@@ -31,32 +31,54 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str], width: in
     return kept.drop("slot", "st", "et", "st_r", "et_r").withColumnsRenamed({"_st": "st", "_et": "et"})
 
 
-def overwrite(base: DataFrame, writes: DataFrame, by: Sequence[str] = ENTITY) -> DataFrame:
+def overwrite(base: DataFrame, writes: DataFrame, by: Sequence[str] = ENTITY, chunk: int = 86_400, most_chunks: int = 64) -> DataFrame:
     """Base history with writes (seq, entity, st, et, value) applied in the order of seq, later ones winning.
 
     The time line is cut at every start and after every end. On each elementary
-    stretch the value of the highest seq that covers it holds, base being
-    lowest; a write to NOW replaces all later history. Null writes win like
-    others. Entities without writes pass through; touched ones are cut by writes
-    only where writes are.
+    stretch the value of the highest seq that covers it holds, then that of the
+    base; a write to NOW replaces all later history. Null writes win like others.
+    Entities without writes pass through.
+
+    The base value of a stretch is the last start before it, found in one pass
+    in order of time. Writes meet stretches by entity and chunk of time: a write
+    of up to most_chunks chunks is dealt out to them, a longer one to those of
+    its entity that hold stretches. So neither history nor writes of an entity
+    are paired as a whole.
     """
+    by = list(by)
     touched = writes.select(*by).distinct()
-    still = base.join(touched, list(by), "left_anti").select(*by, "st", "et", "value")
-    own = base.join(touched, list(by), "left_semi").select(*by, F.lit(-1).cast("bigint").alias("seq"), "st", "et", "value")
-    every = own.unionByName(writes.select(*by, F.col("seq").cast("bigint").alias("seq"), "st", "et", "value"))
-    cuts = every.select(*by, F.col("st").alias("at")).union(every.where(F.col("et") < NOW).select(*by, F.col("et") + 1)).distinct()
-    following = F.lead("at").over(Window.partitionBy(*by).orderBy("at"))
-    parts = cuts.withColumn("to", F.coalesce(following - 1, F.lit(NOW)).cast("bigint"))
-    covering = parts.join(every, list(by)).where((F.col("st") <= F.col("at")) & (F.col("to") <= F.col("et")))
-    best = covering.groupBy(*by, "at", "to").agg(F.max_by(F.struct("value"), "seq").alias("v"))
-    found = best.select(*by, F.col("at").alias("st"), F.col("to").alias("et"), F.col("v.value").alias("value"))
-    return still.unionByName(coalesce_equal(found, by))
+    still = base.join(touched, by, "left_anti").select(*by, "st", "et", "value")
+    own = base.join(touched, by, "left_semi").select(*by, "st", "et", "value")
+    wanted = writes.select(*by, F.col("seq").cast("bigint").alias("seq"), "st", "et", "value")
+    ends = [df.where(F.col("et") < NOW).select(*by, (F.col("et") + 1).alias("at")) for df in (own, wanted)]
+    cuts = own.select(*by, F.col("st").alias("at")).union(wanted.select(*by, "st")).union(ends[0]).union(ends[1]).distinct()
+    w = Window.partitionBy(*by).orderBy("at")
+    starts = own.select(*by, F.col("st").alias("at"), F.struct("et", "value").alias("b"))
+    parts = cuts.join(starts, [*by, "at"], "left").withColumns({"to": F.coalesce(F.lead("at").over(w) - 1, F.lit(NOW)).cast("bigint"), "b": F.last("b", ignorenulls=True).over(w)})
+    parts = parts.withColumn("chunk", F.floor(F.col("at") / chunk))
+
+    spans = wanted.withColumns({"c0": F.floor(F.col("st") / chunk), "c1": F.floor(F.col("et") / chunk)})
+    short = F.col("c1") - F.col("c0") < most_chunks
+    near = spans.where(short).withColumn("chunk", F.explode(F.sequence("c0", "c1")))
+    held = parts.select(*by, "chunk").distinct()
+    far = spans.where(~short).join(held, by).where(F.col("chunk").between(F.col("c0"), F.col("c1")))
+    dealt = near.unionByName(far).select(*by, "chunk", "seq", "st", "et", F.struct("value").alias("v"))
+    hits = parts.select(*by, "chunk", "at").join(dealt, [*by, "chunk"]).where(F.col("at").between(F.col("st"), F.col("et")))
+    best = hits.groupBy(*by, "at").agg(F.max_by("v", "seq").alias("v"))
+    found = parts.join(best, [*by, "at"], "left").where(F.col("v").isNotNull() | (F.col("b.et") >= F.col("to")))
+    value = F.when(F.col("v").isNotNull(), F.col("v.value")).otherwise(F.col("b.value"))
+    return still.unionByName(coalesce_equal(found.select(*by, F.col("at").alias("st"), F.col("to").alias("et"), value.alias("value")), by))
 
 
 def append_open(base: DataFrame, points: DataFrame, by: Sequence[str] = ENTITY) -> DataFrame:
-    """Set values from t on, to NOW: each clears what its entity had from t on; points in order of t."""
-    seq = F.row_number().over(Window.partitionBy(*by).orderBy("t")).alias("seq")
-    return overwrite(base, points.select(*by, seq, F.col("t").cast("bigint").alias("st"), F.lit(NOW).cast("bigint").alias("et"), "value"), by)
+    """Set values from t on, to NOW: each clears what its entity had from t on, in order of t.
+
+    So the base is cut before an entity's first new point, and the points follow.
+    """
+    first = points.groupBy(*by).agg(F.min("t").cast("bigint").alias("first"))
+    left = base.join(first, list(by), "left").where(F.col("first").isNull() | (F.col("st") < F.col("first")))
+    left = left.select(*by, "st", F.least("et", F.col("first") - 1).alias("et"), "value")
+    return left.unionByName(points_to_intervals(points, by).select(*by, "st", "et", "value"))
 
 
 def overlay(old: DataFrame, new: DataFrame, by: Sequence[str] = ENTITY) -> DataFrame:
@@ -99,18 +121,25 @@ def time_groups(spark: SparkSession, start: int, end: int, every: int, unit: str
     return starts.select(F.col("g").cast("bigint").alias("g"), "g_start", ends.alias("g_end")).where(F.col("g_end").isNotNull())
 
 
-def split_by_groups(df: DataFrame, groups: DataFrame, most_groups: int = 100_000) -> DataFrame:
+def split_by_groups(df: DataFrame, groups: DataFrame) -> DataFrame:
     """Intervals cut at the group borders: the columns of df and g, with st, et inside the group.
 
-    Groups are a table made from parameters; their number is checked and they
-    go to each task as one array, in which an interval finds its groups.
+    Both are dealt out to time slots of the length of the shortest group and
+    meet by slot, so an interval is compared with the groups that it touches;
+    each pair is kept in the slot where its common part starts.
     """
-    n = groups.count()
-    if n > most_groups:
-        cut = df.join(groups, (F.col("st") <= F.col("g_end")) & (F.col("g_start") <= F.col("et")))
-    else:
-        cut = df.join(F.broadcast(groups), (F.col("st") <= F.col("g_end")) & (F.col("g_start") <= F.col("et")))
-    return cut.withColumns({"st": F.greatest("st", "g_start"), "et": F.least("et", "g_end")}).drop("g_start", "g_end")
+    r = groups.agg(F.min("g_start").alias("a"), F.max("g_end").alias("b"), F.min(F.col("g_end") - F.col("g_start") + 1).alias("w")).first()
+    if r["a"] is None:
+        return df.where(F.lit(False)).withColumn("g", F.lit(0).cast("bigint"))
+
+    def slot(t: Column) -> Column:
+        return F.floor((t - r["a"]) / r["w"])
+
+    own = clip(df, r["a"], r["b"]).withColumn("slot", F.explode(F.sequence(slot(F.col("st")), slot(F.col("et")))))
+    there = groups.withColumn("slot", F.explode(F.sequence(slot(F.col("g_start")), slot(F.col("g_end")))))
+    pairs = own.join(there, "slot").where((F.col("st") <= F.col("g_end")) & (F.col("g_start") <= F.col("et")))
+    pairs = pairs.withColumns({"st": F.greatest("st", "g_start"), "et": F.least("et", "g_end")})
+    return pairs.where(F.col("slot") == slot(F.col("st"))).drop("slot", "g_start", "g_end")
 
 
 def duration_rollup(df: DataFrame, groups: DataFrame, starts: Sequence[float] | None = None, by: Sequence[str] = ENTITY) -> DataFrame:
