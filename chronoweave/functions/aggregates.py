@@ -61,3 +61,15 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
     "count_distinct": F.count_distinct, "sum_distinct": lambda c: F.coalesce(F.sum_distinct(c), F.lit(0)),
     "collect_distinct": lambda c: F.sort_array(F.collect_set(c)),
 }
+
+
+def define(name: str, aggregate: Callable[..., Column]) -> None:
+    """Register a user aggregate: a composition of built-ins, or a grouped-aggregate pandas UDF."""
+    AGGREGATES[name.lower()] = aggregate
+
+
+def call(name: str, *args, **kwargs) -> Column:
+    try:
+        return AGGREGATES[name.lower()](*args, **kwargs)
+    except KeyError:
+        raise ValueError(f"no aggregate {name}") from None

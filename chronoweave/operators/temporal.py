@@ -160,6 +160,24 @@ def aggregate_range(df: DataFrame, t0: int, t1: int, *aggregates: Column, by: Se
     return drop_invalid(clip(df, t0, t1)).groupBy(*by).agg(*aggregates)
 
 
+def aggregate_grouped(df: DataFrame, t0: int, t1: int, group: Column, *aggregates: Column, by: Sequence[str] = ENTITY, gaps: bool = False) -> DataFrame:
+    """Aggregates by entity and by a group that is told from st, et and value (columns; null groups are left out).
+
+    With gaps, stretches without a value take part with a null value.
+    """
+    own = history_with_gaps(df, t0, t1, by) if gaps else drop_invalid(clip(df, t0, t1))
+    own = own.withColumn("g", group).where(F.col("g").isNotNull())
+    return own.groupBy(*by, "g").agg(*aggregates)
+
+
+def range_until(df: DataFrame, t0: int, t1: int, stop: Column, by: Sequence[str] = ENTITY) -> DataFrame:
+    """The entries of [t0, t1] in order of time, up to and with the first of each entity for which stop is true."""
+    own = clip(df, t0, t1)
+    first = own.where(stop).groupBy(*by).agg(F.min("st").alias("_last"))
+    found = own.join(first, list(by), "left").where(F.col("_last").isNull() | (F.col("st") <= F.col("_last")))
+    return found.select(*by, "st", "et", "value")
+
+
 def maximum(df: DataFrame, t0: int, t1: int, by: Sequence[str] = ENTITY) -> DataFrame:
     return aggregate_range(df, t0, t1, F.max("value").alias("max_value"), by=by)
 

@@ -139,6 +139,17 @@ def latest_value(spark, sf_dir):
     return T.latest(points(spark, sf_dir))
 
 
+@query(f"WITH {_clipped()} SELECT entity, st // 86400 AS g, count(*) AS n, max(value) AS most, sum(et - st + 1)::BIGINT AS ticks FROM cl GROUP BY ALL")
+def aggregate_grouped(spark, sf_dir):
+    day = F.floor(F.col("st") / 86_400)
+    return T.aggregate_grouped(history_of(spark, sf_dir), T0, T1, day, F.count("*").alias("n"), F.max("value").alias("most"), F.sum(T.length()).alias("ticks"))
+
+
+@query(f"WITH {_clipped()}, f AS (SELECT entity, min(st) AS last FROM cl WHERE value > 100 GROUP BY entity) SELECT cl.entity, st, et, value FROM cl LEFT JOIN f ON cl.entity = f.entity WHERE last IS NULL OR st <= last")
+def range_until(spark, sf_dir):
+    return T.range_until(T.drop_invalid(history_of(spark, sf_dir)), T0, T1, F.col("value") > 100)
+
+
 @query(f"WITH {_clipped()} SELECT entity, max(value) AS max_value FROM cl GROUP BY entity")
 def gatp_max(spark, sf_dir):
     return T.maximum(history_of(spark, sf_dir), T0, T1)

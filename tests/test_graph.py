@@ -147,6 +147,22 @@ def test_values(spark):
         scalars.call("nosuch")
 
 
+def test_user_aggregates(spark):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    from chronoweave.functions import aggregates as A
+
+    @pandas_udf("double")
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min())
+
+    A.define("spread", spread)
+    assert spark.range(5).agg(A.call("Spread", F.col("id").cast("double")).alias("s")).first()["s"] == 4.0
+    with pytest.raises(ValueError):
+        A.call("nosuch", F.col("id"))
+
+
 def test_procedures(spark, graph):
     assert pairs(procedures.call(spark, "db.labels", graph), "label") == [("Blocked",), ("N",)]
     assert procedures.call(spark, "dbms.components", yields=("name",)).columns == ["name"]
