@@ -63,7 +63,7 @@ def latest(spark, groups: str, key_type: T.DataType) -> DataFrame:
     return read.groupBy("digest").agg(last).select("digest", "g.*")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256, files_per_batch: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256, files_per_batch: int | None = None, most_sent: int = 2_000_000) -> DataFrame:
     """One row for each row of docs: key, text_key, row, keep_id, group_size, kept, text_sha256, verified.
 
     Texts are equal when identical; null counts as empty. Of equal texts the row
@@ -92,7 +92,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha25
     groups = write_shared(groups, "groups")
 
     # Full bytes on hits: the least and the greatest text of a digest are the same only if all are.
-    hits = own.withColumn("digest", digest(F.col("body")).cast("string")).join(groups.where("n > 1").select("digest"), "digest", "left_semi")
+    # The rows to compare are told by their text keys (8 bytes): sent to the tasks while they are few, so that copies are
+    # combined before any shuffle; joined by a shuffle beyond that.
+    several = rows.join(groups.where("n > 1").select("digest"), "digest", "left_semi").select("text_key").distinct()
+    several = write_shared(several, "several")
+    if several.limit(most_sent + 1).count() <= most_sent:
+        several = F.broadcast(several)
+    hits = own.withColumn("text_key", F.xxhash64("body")).join(several, "text_key", "left_semi").withColumn("digest", digest(F.col("body")).cast("string"))
     differ = hits.groupBy("digest").agg((F.min("body") == F.max("body")).alias("same")).where(~F.col("same")).select("digest", F.lit(True).alias("differ"))
     differ = write_shared(differ, "collisions")
     joined = rows.join(groups, "digest")
