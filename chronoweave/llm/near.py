@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chronoweave.llm import golay
 from chronoweave.llm.components import components
-from chronoweave.llm.session import ship, write_shared
+from chronoweave.llm.session import ship, shuffle_partitions, write_shared
 from chronoweave.llm.tokens import chunks
 
 
@@ -98,7 +98,9 @@ def links(prints: DataFrame, most_in_bucket: int = 4096, most_bits: int = golay.
                 rows, ks = golay.keys(own)
                 yield pa.RecordBatch.from_arrays([pa.array(ks), pa.array(own[rows])], ["k", "fp"])
 
-    dealt = prints.select("fingerprint").mapInArrow(deal, "k long, fp long")
+    # a hundred keys for each fingerprint: spread the small rows first
+    spread = prints.select("fingerprint").repartition(shuffle_partitions(spark), "fingerprint")
+    dealt = spread.mapInArrow(deal, "k long, fp long")
     counts = dealt.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > most_in_bucket).select("k")
     hot = write_shared(counts, "hot-keys")
     cold = dealt if hot.isEmpty() else dealt.join(hot, "k", "left_anti")
