@@ -35,9 +35,9 @@ _CLOSES_P = _BLOCKS - {"br"}
 _SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table menu select".split())
 _APART_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promos promotion banner sidebar sidebars side rail aside nav navbar navigation menu menus topbar breadcrumb breadcrumbs crumbs header masthead footer foot colophon copyright cookie cookies consent gdpr notice notices notification alert alerts popup modal overlay newsletter subscribe subscription signup login register search share sharing social related recommended recommendations trending popular widget widgets toolbar pagination pager tags comment comments commentlist respond reply replies disqus discussion reactions disclaimer skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promos promotion banner sidebar sidebars side rail aside nav navbar navigation menu menus topbar breadcrumb breadcrumbs crumbs header masthead footer foot colophon copyright cookie cookies consent gdpr notice notices notification alert alerts popup modal overlay newsletter subscribe subscription signup login register search share sharing social related recommended recommendations trending popular widget widgets toolbar pagination pager tags comment comments commentlist respond reply replies disqus discussion reactions disclaimer skip adsbygoogle werbung anzeige publicite publicidad anuncio anuncios hinweis aviso kommentare kommentar commentaires commentaire comentarios comentario".split()
 )
-_COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion reactions".split())
+_COMMENTS = frozenset("comment comments commentlist respond reply replies disqus discussion reactions kommentare kommentar commentaires commentaire comentarios comentario".split())
 _ARTICLE_NAMES = frozenset("article content main post entry story body text".split())
 _JOINING = frozenset("with has no without is".split())
 _APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
