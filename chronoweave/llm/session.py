@@ -44,8 +44,29 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict = {}
+
+
+def worker_cache(name, make):
+    """What an operator keeps in a Python worker between tasks (make() at first).
+
+    A worker outlives its task and may serve other operators after it: the
+    cache of another name is dropped, so a worker holds one at a time.
+    """
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+#: Bytes of a batch between Spark and Python, unless the session has another number: a batch is held several times over.
+_BATCH, _BATCH_SETTING, _BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context."""
+    """Send this package to the executors, once for each Spark context, and keep Arrow batches small."""
+    if spark.conf.get(_BATCH_SETTING).rstrip("b") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH_SETTING, f"{_BATCH}b")
     sc = spark.sparkContext
     if getattr(sc, "_chronoweave_shipped", False):
         return

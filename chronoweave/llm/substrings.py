@@ -20,35 +20,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chronoweave.llm.session import ship
+from chronoweave.llm.session import ship, worker_cache
 from chronoweave.llm.tokens import chunks
 
 #: Perfect difference sets, period to residues.
 COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 
-_known: dict[bytes, int] = {}  # hashes of words seen in this worker
-_MOST_KNOWN = 700_000
+_MOST_KNOWN = 700_000  # words whose hashes a worker keeps
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MASK = (1 << 64) - 1
 
 
 def period(size: int) -> int:
-    """The largest period whose anchors have at least 5 words, or all of a shorter window."""
-    return max((v for v in COVERS if size - v + 1 >= 5), default=0)
+    """The largest period whose anchors have two fifths of a window's words; shorter ones repeat by chance. 0: there is none."""
+    return max((v for v in COVERS if size - v + 1 >= 0.4 * size), default=0)
 
 
 def word_hashes(ws: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    if len(_known) > _MOST_KNOWN:
-        _known.clear()
+    known: dict[bytes, int] = worker_cache("words", dict)
+    if len(known) > _MOST_KNOWN:
+        known.clear()
     try:
-        return np.fromiter(map(_known.__getitem__, ws), np.uint64, len(ws))
+        return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
     except KeyError:
         for w in ws:
-            if w not in _known:
-                _known[w] = xxh64_intdigest(w)
-        return np.fromiter(map(_known.__getitem__, ws), np.uint64, len(ws))
+            if w not in known:
+                known[w] = xxh64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
 
 
 @cache

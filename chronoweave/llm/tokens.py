@@ -16,9 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from chronoweave.llm.session import new_folder, ship, shuffle_partitions, write_shared
-
-_encoders: dict[str, "Encoder"] = {}  # one for each vocabulary in a Python worker, kept between tasks
+from chronoweave.llm.session import new_folder, ship, shuffle_partitions, worker_cache, write_shared
 
 
 class Encoder:
@@ -71,9 +69,7 @@ def encoder(path: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return worker_cache(("encoder", path), lambda: Encoder(path))
 
 
 def chunks(batch: pa.RecordBatch, column: int, size: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
@@ -137,7 +133,7 @@ def pack_blocks(values: np.ndarray, block: int, percentile: float) -> tuple[byte
 
 def unpack_blocks(payload: bytes, starts: list[int], first: int = 0, last: int | None = None) -> np.ndarray:
     """Values of the blocks first to last (not included); the index finds them without reading the others."""
-    ends = [*starts[1:], len(payload)]
+    ends = [*starts[1:], len(payload)] if starts else []
     view = memoryview(payload)
     parts = [unpack_block(view[a:b]) for a, b in list(zip(starts, ends, strict=True))[first:last]]
     return np.concatenate(parts) if parts else np.zeros(0, "<u4")

@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chronoweave.llm.decontam import words
-from chronoweave.llm.session import free_name, ship
+from chronoweave.llm.session import free_name, ship, worker_cache, write_shared
 from chronoweave.llm.tokens import chunks
 
-_slots: dict[int, dict[bytes, tuple[int, ...]]] = {}  # terms of words seen in this worker, for each number of buckets
-_MOST_KNOWN = 300_000
+_MOST_KNOWN = 300_000  # words whose terms a worker keeps
 #: Lengths in bytes of the word beginnings that are terms too.
 PREFIXES = (3, 4, 5, 6)
 
@@ -33,7 +32,7 @@ def terms(text: bytes, buckets: int) -> set[int]:
     """Buckets of the terms of a text."""
     from xxhash import xxh32_intdigest
 
-    known = _slots.setdefault(buckets, {})
+    known: dict[bytes, tuple[int, ...]] = worker_cache(("terms", buckets), dict)
     if len(known) > _MOST_KNOWN:
         known.clear()
     out: set[int] = set()
@@ -206,9 +205,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """text and label of the labelled rows that are not held out. Keys that are null or without a label give none.
 
     Up to most_sent labels (two numbers each) are sent to the tasks; more are
-    joined by a shuffle of both sides.
+    joined by a shuffle of both sides, whose result is written once.
     """
     own = labels.select(F.col(key).alias("key"), F.col(label).alias(label)).where(F.col("key").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("key")))
-    if own.limit(most_sent + 1).count() <= most_sent:
-        own = F.broadcast(own)
-    return docs.select(F.col(key).alias("key"), F.col(text).alias(text)).join(own, "key").select(text, label)
+    few = own.limit(most_sent + 1).count() <= most_sent
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias(text)).join(F.broadcast(own) if few else own, "key").select(text, label)
+    return found if few else write_shared(found, "training")
