@@ -90,7 +90,7 @@ def reachable(starts: DataFrame, rels: DataFrame, high: int, low: int = 1, direc
     """
     if low > 1:
         raise ValueError("shortest depths only tell walks of at least 0 or 1")
-    hops = oriented(rels, direction).select("from_id", "to_id").distinct()
+    hops = settle(oriented(rels, direction).select("from_id", "to_id").distinct(), "hops")  # read in every round
     own = starts.select(F.col("id").alias("start")).distinct()
     frontier = own.withColumn("end", F.col("start"))
     seen, out = frontier if low == 0 else None, frontier if low == 0 else None
@@ -106,7 +106,7 @@ def reachable(starts: DataFrame, rels: DataFrame, high: int, low: int = 1, direc
 
 def shortest_lengths(starts: DataFrame, rels: DataFrame, most: int, direction: str = "out") -> DataFrame:
     """start, end, hops: the least number of relationships from each start, up to `most`; the start itself at 0."""
-    steps = oriented(rels, direction).select("from_id", "to_id").distinct()
+    steps = settle(oriented(rels, direction).select("from_id", "to_id").distinct(), "steps")
     level = starts.select(F.col("id").alias("start")).distinct().withColumns({"end": F.col("start"), "hops": F.lit(0)})
     seen = level
     for depth in range(1, most + 1):
@@ -127,7 +127,7 @@ def shortest_paths(pairs: DataFrame, rels: DataFrame, most: int, direction: str
     shortest paths the one with the smallest last relationship, then the one
     before, and so on, is taken.
     """
-    steps = oriented(rels, direction).select("from_id", "rel", "to_id")
+    steps = settle(oriented(rels, direction).select("from_id", "rel", "to_id"), "steps")
     wanted = pairs.select("start", "end").distinct()
     level = wanted.select("start", F.col("start").alias("node")).distinct()
     seen, levels = level, []
