@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +136,8 @@ def links(prints: DataFrame, most_in_bucket: int = 4096, most_bits: int = golay.
         if len(last) > 1:
             yield linked([last])
 
-    found = cold.repartition("k").sortWithinPartitions("k").mapInArrow(compare, "a long, b long").distinct()
+    # in order of fingerprint too: then the hub of a crowd is the same under most of its keys, and its links are few
+    found = cold.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(compare, "a long, b long").distinct()
     if hot.isEmpty():
         return found
 
@@ -231,17 +233,16 @@ def similar_texts(
     own = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("text_key"), body.alias("text"))
     rows = write_shared(own.mapInArrow(prints, f"key {kind}, text_key long, " + ", ".join(f"{n} long" for n in names)), "word-prints")
     texts = rows.drop("key").distinct()
-    pairs = None
+    same, near, ends = [], [], []
     for name in names:
         nodes = write_shared(texts.groupBy(F.col(name).alias("fingerprint")).agg(F.min("text_key").alias("one")), "nodes")
-        same = texts.join(nodes, texts[name] == nodes["fingerprint"]).where("text_key <> one").select(F.col("one").alias("a"), F.col("text_key").alias("b"))
-        a, b = (nodes.select(F.col("fingerprint").alias(c), F.col("one").alias(f"{c}_one")) for c in "ab")
-        near = links(nodes, most_in_bucket, most_bits).join(a, "a").join(b, "b").select(F.col("a_one").alias("a"), F.col("b_one").alias("b"))
-        both = same.unionByName(near)
-        pairs = both if pairs is None else pairs.unionByName(both)
-    pairs = write_shared(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
+        same.append(texts.join(nodes, texts[name] == nodes["fingerprint"]).where("text_key <> one").select(F.least("one", "text_key").alias("a"), F.greatest("one", "text_key").alias("b")))
+        near.append(write_shared(links(nodes, most_in_bucket, most_bits), "links"))
+        linked = near[-1].select(F.col("a").alias("fingerprint")).union(near[-1].select("b")).distinct()
+        ends.append(nodes.join(linked, "fingerprint", "left_semi"))
+    same = write_shared(reduce(DataFrame.unionByName, same).distinct(), "pairs")
+
+    wanted = reduce(DataFrame.union, [same.select(F.col("a").alias("text_key")), same.select("b"), *(e.select("one") for e in ends)]).distinct()
     if wanted.limit(most_sent + 1).count() <= most_sent:  # 8 bytes each; more are joined by a shuffle
         wanted = F.broadcast(wanted)
     compared = write_shared(own.select("text_key", "text").join(wanted, "text_key", "left_semi"), "compared").dropDuplicates(["text_key"])
@@ -252,12 +253,19 @@ def similar_texts(
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 s, t = shingles(x.as_py().encode(), words), shingles(y.as_py().encode(), words)
                 keep.append(len(s & t) >= least * len(s | t))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    left = compared.select(F.col("text_key").alias("a"), F.col("text").alias("x"))
-    right = compared.select(F.col("text_key").alias("b"), F.col("text").alias("y"))
-    verified = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    roots = components(verified).withColumnRenamed("node", "text_key")
+            yield batch.select([0, 1]).rename_columns(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose texts are alike, as text keys; known: at, one, text of each end."""
+        left = known.select(F.col("at").alias("a"), F.col("one").alias("p"), F.col("text").alias("x"))
+        right = known.select(F.col("at").alias("b"), F.col("one").alias("q"), F.col("text").alias("y"))
+        return pairs.join(left, "a").join(right, "b").select("p", "q", "x", "y").mapInArrow(verify, "a long, b long")
+
+    found = [verified(same, compared.select(F.col("text_key").alias("at"), F.col("text_key").alias("one"), "text"))]
+    for links_of, e in zip(near, ends, strict=True):
+        found.append(verified(links_of, e.join(compared, e["one"] == compared["text_key"]).select(F.col("fingerprint").alias("at"), "one", "text")))
+    verified_pairs = reduce(DataFrame.unionByName, found)
+    roots = components(verified_pairs).withColumnRenamed("node", "text_key")
     named = rows.select("key", "text_key").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
     named = write_shared(named, "rooted")
     least_key = named.groupBy("root").agg(F.min("key").alias("component_id"))
