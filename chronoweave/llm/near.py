@@ -1,7 +1,8 @@
-"""Near-duplicates by SimHash fingerprints, joined on Golay-code keys."""
+"""Near-duplicates: SimHash fingerprints joined on Golay-code keys, and texts that share most of their word shingles."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -56,8 +57,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return rows.mapInArrow(run, f"key {kind}, text_key long, fingerprint long")
 
 
-def _forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links that join what is connected at `most` or fewer differing bits: one less than members for each part.
+def _forest(prints: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what is connected at 4 or fewer differing bits: one less than members for each part.
 
     Breadth first: each step compares one member with those not yet reached.
     """
@@ -66,7 +67,7 @@ def _forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = golay.distance(left, x) <= most
+            near = golay.distance(left, x) <= golay.MOST_BITS
             if near.any():
                 links += [(int(x), int(y)) for y in left[near]]
                 queue += left[near].tolist()
@@ -74,12 +75,9 @@ def _forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(prints: DataFrame, most_in_bucket: int = 4096, most_bits: int = golay.MOST_BITS) -> DataFrame:
+def links(prints: DataFrame, most_in_bucket: int = 4096) -> DataFrame:
     """(a, b): links between the distinct fingerprints of prints that connect all at 4 or fewer differing bits.
 
-    With most_bits over 4, those at up to so many bits that share a key are
-    linked too; only for 4 is it sure that a key is shared.
-
     Every fingerprint is dealt out under its Golay keys. A key's fingerprints
     are compared in its task and give a forest of verified links, not all
     pairs. Keys of more than most_in_bucket fingerprints are found beforehand;
@@ -110,7 +108,7 @@ def links(prints: DataFrame, most_in_bucket: int = 4096, most_bits: int = golay.
         last_k, last = None, np.zeros(0, np.int64)
 
         def linked(groups: list[np.ndarray]) -> pa.RecordBatch:
-            found = [p for g in groups for p in _forest(g, most_bits)]
+            found = [p for g in groups for p in _forest(g)]
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -180,22 +178,82 @@ def shingles(text: bytes, words: int) -> set[bytes]:
     return {b" ".join(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1))} if ws else set()
 
 
-def word_set_print(text: bytes, seed: int) -> int:
-    """SimHash of the different words of a text, as stored in a long.
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of the different word shingles of a text, sorted."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.fromiter((xxh64_intdigest(s) for s in shingles(text, words)), np.uint64))
+
 
-    A changed word changes one feature here and five shingles there, so texts
-    that share 0.8 of their shingles of five words are within a few bits.
+#: Longs of a sketch.
+_SKETCH = 8
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """512 bits: of how many hashes there are in each of 512 cells, odd or even.
+
+    A hash that only one of two sets has changes one bit at most, so two sets
+    differ in at least as many hashes as their sketches in bits.
     """
-    from xxhash import xxh64_intdigest
+    odd = np.bincount((hashes & np.uint64(64 * _SKETCH - 1)).astype(np.int64), minlength=64 * _SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
-    ws = set(text.lower().split())
-    if not ws:
-        return 0
-    h = np.fromiter((xxh64_intdigest(w, seed) for w in ws), np.uint64, len(ws))
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(h), 65_536):
-        counts += np.unpackbits(h[i : i + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
+
+def rare_first(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Sorted hashes in the order of the corpus: those not in common (sorted) by hash, then the others by rank."""
+    if not len(common):
+        return hashes
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return hashes[np.argsort(np.where(common[at] == hashes, rank[at], 0), kind="stable")]
+
+
+def _common(rows: DataFrame, words: int, most_texts: int = 20_000, least_seen: int = 5, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many texts have, sorted, and their ranks by how many, from a bounded sample.
+
+    They only set an order, and any order gives the same results.
+    """
+    share = min(1.0, most_texts / max(1, rows.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in chunks(batch, 0):
+                for t in texts:
+                    yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t, words).view(np.int64))], ["h"])
+
+    sample = rows.where(F.pmod("text_key", F.lit(1_000_000)) < share * 1_000_000).select("text").mapInArrow(run, "h long")
+    found = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least_seen).orderBy(F.desc("n"), "h").limit(most).toArrow()
+    h = found.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.arange(len(h), 0, -1)[order]
+
+
+def _pairs(group: np.ndarray, block: np.ndarray, rows: dict[str, np.ndarray], bits: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of a group (neighbours in order of group) with different roots that may be alike by their sizes, places and sketches.
+
+    In groups of two blocks (block: 0 or 1, and -1 where there is only one) only rows of different blocks meet.
+    """
+    t, root, size, place = (rows[c] for c in ("t", "root", "size", "place"))
+    found, n = [], 0
+    for d in range(1, len(group)):
+        i = np.nonzero(group[d:] == group[:-d])[0]
+        if not len(i):
+            break
+        i = i[(root[i] != root[i + d]) & ((block[i] < 0) | (block[i] != block[i + d]))]
+        j = i + d
+        both = size[i] + size[j]
+        may = 1 + np.minimum(size[i] - place[i] - 1, size[j] - place[j] - 1) >= least / (1 + least) * both - 1e-9
+        i, j, both = i[may], j[may], both[may]
+        may = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= (1 - least) / (1 + least) * both + 1e-9
+        i, j = i[may], j[may]
+        found.append(np.stack([np.minimum(t[i], t[j]), np.maximum(t[i], t[j])], 1))
+        n += len(i)
+        if n > 50_000:
+            a, b = np.unique(np.concatenate(found), axis=0).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            found, n = [], 0
+    if n:
+        a, b = np.unique(np.concatenate(found), axis=0).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def similar_texts(
@@ -204,48 +262,50 @@ def similar_texts(
     text: str = "text",
     words: int = 5,
     least: float = 0.8,
-    seeds: tuple[int, ...] = (42, 43),
-    most_bits: int = 8,
     most_in_bucket: int = 4096,
     most_sent: int = 1_000_000,
 ) -> DataFrame:
     """key, text_key and component_id of each row: groups of texts linked by a similarity of `least` or more.
 
     Similarity is the share of word shingles that two texts have in common
-    (Jaccard); texts of no words are like each other. Candidates are links of
-    word-set fingerprints, one for each seed, found through their Golay keys;
-    texts of one fingerprint are compared with the first of them. Every candidate
-    pair is verified on the whole texts before it links. A text is a node
-    however many rows have it; component_id is the smallest key of a group.
+    (Jaccard); texts of no words are like each other. A text is a node however
+    many rows have it; component_id is the smallest key of a group.
+
+    Candidates are found by prefixes: with the shingles of all texts in one
+    order, rare ones first, two alike texts share one of the first
+    n - ceil(least * n) + 1 of each (n: its shingles), so none is missed. Every
+    pair is verified on the whole texts before it links. First each shingle's
+    texts are compared with the least of them. Then all pairs under a shingle that
+    are not yet in one group are, but for those that sizes, places or sketches
+    rule out; a shingle of more than most_in_bucket texts is dealt out as pairs of
+    blocks, which changes no result.
     """
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[key].dataType.simpleString()
-    names = [f"f{i}" for i in range(len(seeds))]
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [[word_set_print(t, s) for s in seeds] for _, texts in chunks(batch, 2) for t in texts]
-            cols = [pa.array(c, pa.int64()) for c in zip(*own, strict=True)] if own else [pa.array([], pa.int64())] * len(seeds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["key", "text_key", *names])
-
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("text_key"), body.alias("text"))
-    rows = write_shared(own.mapInArrow(prints, f"key {kind}, text_key long, " + ", ".join(f"{n} long" for n in names)), "word-prints")
-    texts = rows.drop("key").distinct()
-    same, near, ends = [], [], []
-    for name in names:
-        nodes = write_shared(texts.groupBy(F.col(name).alias("fingerprint")).agg(F.min("text_key").alias("one")), "nodes")
-        same.append(texts.join(nodes, texts[name] == nodes["fingerprint"]).where("text_key <> one").select(F.least("one", "text_key").alias("a"), F.greatest("one", "text_key").alias("b")))
-        near.append(write_shared(links(nodes, most_in_bucket, most_bits), "links"))
-        linked = near[-1].select(F.col("a").alias("fingerprint")).union(near[-1].select("b")).distinct()
-        ends.append(nodes.join(linked, "fingerprint", "left_semi"))
-    same = write_shared(reduce(DataFrame.unionByName, same).distinct(), "pairs")
-
-    wanted = reduce(DataFrame.union, [same.select(F.col("a").alias("text_key")), same.select("b"), *(e.select("one") for e in ends)]).distinct()
-    if wanted.limit(most_sent + 1).count() <= most_sent:  # 8 bytes each; more are joined by a shuffle
-        wanted = F.broadcast(wanted)
-    compared = write_shared(own.select("text_key", "text").join(wanted, "text_key", "left_semi"), "compared").dropDuplicates(["text_key"])
+    sent = spark.sparkContext.broadcast(_common(own, words))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rank = sent.value
+        for batch in batches:
+            for first, texts in chunks(batch, 2):
+                sizes, bits, ks = [], [], []
+                for t in texts:
+                    h = shingle_hashes(t, words)
+                    n = len(h)
+                    sizes.append(n)
+                    bits.append(sketch(h))
+                    ks.append(rare_first(h, common, rank)[: n - math.ceil(least * n - 1e-9) + 1].view(np.int64) if n else np.zeros(1, np.int64))
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (bits, ks)]
+                part = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), *lists], ["key", "text_key", "size", "bits", "ks"])
+
+    rows = write_shared(own.mapInArrow(prefixes, f"key {kind}, text_key long, size long, bits array<long>, ks array<long>"), "prefixes")
+    dealt = rows.select(F.col("text_key").alias("t"), "size", F.posexplode("ks").alias("place", "k"))
+    shared = dealt.groupBy("k").agg(F.min("t").alias("hub"), F.max("t").alias("last")).where("hub <> last").select("k", "hub")
+    met = write_shared(dealt.join(shared, "k"), "met")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,21 +313,63 @@ def similar_texts(
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 s, t = shingles(x.as_py().encode(), words), shingles(y.as_py().encode(), words)
                 keep.append(len(s & t) >= least * len(s | t))
-            yield batch.select([0, 1]).rename_columns(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose texts are alike, as text keys; known: at, one, text of each end."""
-        left = known.select(F.col("at").alias("a"), F.col("one").alias("p"), F.col("text").alias("x"))
-        right = known.select(F.col("at").alias("b"), F.col("one").alias("q"), F.col("text").alias("y"))
-        return pairs.join(left, "a").join(right, "b").select("p", "q", "x", "y").mapInArrow(verify, "a long, b long")
-
-    found = [verified(same, compared.select(F.col("text_key").alias("at"), F.col("text_key").alias("one"), "text"))]
-    for links_of, e in zip(near, ends, strict=True):
-        found.append(verified(links_of, e.join(compared, e["one"] == compared["text_key"]).select(F.col("fingerprint").alias("at"), "one", "text")))
-    verified_pairs = reduce(DataFrame.unionByName, found)
-    roots = components(verified_pairs).withColumnRenamed("node", "text_key")
-    named = rows.select("key", "text_key").join(roots, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
-    named = write_shared(named, "rooted")
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose texts are alike."""
+        wanted = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
+        if wanted.limit(most_sent + 1).count() <= most_sent:  # 8 bytes each; more are joined by a shuffle
+            wanted = F.broadcast(wanted)
+        texts = write_shared(own.select("text_key", "text").join(wanted, "text_key", "left_semi"), "compared").dropDuplicates(["text_key"])
+        x, y = (texts.select(F.col("text_key").alias(c), F.col("text").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+        return write_shared(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
+
+    sketches = rows.select("text_key", "size", "bits").dropDuplicates(["text_key"])
+    x, y = (sketches.select(F.col("text_key").alias(c), *(F.col(n).alias(f"{n}_{c}") for n in ("size", "bits"))) for c in "ab")
+    apart = reduce(lambda u, v: u + v, (F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(_SKETCH)))
+    hubs = met.where("t <> hub").select(F.col("hub").alias("a"), F.col("t").alias("b")).distinct()
+    hubs = hubs.join(x, "a").join(y, "b").where(apart <= F.lit((1 - least) / (1 + least)) * (F.col("size_a") + F.col("size_b")) + 1e-9).select("a", "b")
+    found = verified(write_shared(hubs, "hub-pairs"))
+
+    def rooted(of: DataFrame, name: str) -> DataFrame:
+        roots = components(found).withColumnRenamed("node", name)
+        return of.join(roots, name, "left").withColumn("root", F.coalesce("root", name))
+
+    split = rooted(met.drop("hub"), "t").distinct()
+    split = write_shared(split, "met-rooted")
+    mixed = split.groupBy("k").agg(F.min("root").alias("u"), F.max("root").alias("v"), F.count("*").alias("n")).where("u <> v")
+    blocks = F.when(F.col("n") > most_in_bucket, F.ceil(F.col("n") * 2 / most_in_bucket)).otherwise(1).cast("int")
+    left = split.join(mixed.select("k", blocks.alias("blocks")), "k").withColumn("own", F.pmod(F.xxhash64("t"), "blocks").cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.join(sketches.select(F.col("text_key").alias("t"), "bits"), "t").select(
+        "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("block"), "t", "root", "size", F.col("place").cast("long").alias("place"), "bits",
+    )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+            k, i, j = (now.column(c).to_numpy() for c in range(3))
+            new = np.nonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))[0] + 1
+            end = int(new[-1]) if len(new) else 0
+            if end:
+                yield from of(now.slice(0, end))
+            kept = now.slice(end)
+        if kept is not None:
+            yield from of(kept)
+
+    def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        k, i, j = (table.column(c).to_numpy() for c in range(3))
+        group = np.cumsum(np.r_[0, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, _SKETCH)
+        yield from _pairs(group, table.column("block").to_numpy(), {c: table.column(c).to_numpy() for c in ("t", "root", "size", "place")}, bits, least)
+
+    rest = left.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(meet, "a long, b long").distinct()
+    found = write_shared(found.unionByName(verified(write_shared(rest, "rest-pairs"))), "alike")
+    named = write_shared(rooted(rows.select("key", "text_key"), "text_key"), "rooted")
     least_key = named.groupBy("root").agg(F.min("key").alias("component_id"))
     return named.join(least_key, "root").select(F.col("key").alias(key), "text_key", "component_id")
 

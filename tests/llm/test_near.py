@@ -86,6 +86,38 @@ def test_similar_texts_equal_brute_force(some_docs, some_texts):
     assert sorted(((r.doc_id, r.component_id) for r in found), key=repr) == want and alike
 
 
+def same_groups_as_brute_force(spark, texts, **more):
+    """Whether similar_texts groups texts (keys: their places) as all pairs do; and the number of alike pairs."""
+    found = similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **more).collect()
+    sets = [shingles(t.encode(), 5) for t in texts]
+    alike = [(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = groups(range(len(texts)), alike)
+    assert sorted((r.doc_id, r.component_id) for r in found) == sorted(root.items())
+    return len(alike)
+
+
+def some_words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+
+
+def reordered(rng, ws):
+    """The same words in pieces of 12 in another order: about two thirds of the shingles stay."""
+    parts = [ws[i : i + 12] for i in range(0, len(ws), 12)]
+    rng.shuffle(parts)
+    return [w for p in parts for w in p]
+
+
+def test_near_copies_that_share_a_hub_unlike_both_are_linked(spark):
+    rng, texts = random.Random(11), []
+    for _ in range(30):
+        base = some_words(rng, 240)
+        for ws in (reordered(rng, base), base, base, base):
+            ws = [*ws]
+            ws[rng.randrange(len(ws))] = "changed"
+            texts.append(" ".join(ws))
+    assert same_groups_as_brute_force(spark, texts) >= 90
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 260)] + [(7, 7), (8, None), (9, 3), (3, 9)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
