@@ -118,6 +118,15 @@ def test_near_copies_that_share_a_hub_unlike_both_are_linked(spark):
     assert same_groups_as_brute_force(spark, texts) >= 90
 
 
+def test_near_copies_among_texts_of_the_same_words_are_linked(spark):
+    rng, base, texts = random.Random(12), some_words(random.Random(13), 180), []
+    for _ in range(20):
+        ws = reordered(rng, base)
+        i = rng.randrange(len(ws) - 1)
+        texts += [" ".join(ws), " ".join([*ws[:i], ws[i + 1], ws[i], *ws[i + 2 :]])]
+    assert same_groups_as_brute_force(spark, texts) >= 20
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 260)] + [(7, 7), (8, None), (9, 3), (3, 9)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
