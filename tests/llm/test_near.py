@@ -127,6 +127,18 @@ def test_near_copies_among_texts_of_the_same_words_are_linked(spark):
     assert same_groups_as_brute_force(spark, texts) >= 20
 
 
+@pytest.mark.parametrize("most", [4096, 4])
+def test_crowds_are_split_without_loss(spark, most):
+    rng, base, texts = random.Random(14), some_words(random.Random(15), 200), []
+    for _ in range(20):
+        ws = [*base]
+        for i in rng.sample(range(200), 12):
+            ws[i] = some_words(rng, 1)[0]
+        i = rng.randrange(200)
+        texts += [" ".join(ws), " ".join([*ws[:i], *some_words(rng, 8), *ws[i:]])]
+    assert 20 <= same_groups_as_brute_force(spark, texts, most_in_bucket=most) < 200
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 260)] + [(7, 7), (8, None), (9, 3), (3, 9)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
