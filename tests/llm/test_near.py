@@ -139,6 +139,15 @@ def test_crowds_are_split_without_loss(spark, most):
     assert 20 <= same_groups_as_brute_force(spark, texts, most_in_bucket=most) < 200
 
 
+def test_copies_with_added_or_cut_passages_are_found(spark):
+    rng, texts = random.Random(16), []
+    for i in range(60):
+        ws, n = some_words(rng, 200), 10 + i // 3  # 0.95 to 0.83 of the shingles stay
+        at = rng.randrange(150)
+        texts += [" ".join(ws), " ".join([*ws[:at], *some_words(rng, n), *ws[at:]] if i % 2 else [*ws[:at], *ws[at + n :]])]
+    assert same_groups_as_brute_force(spark, texts) == 60
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 260)] + [(7, 7), (8, None), (9, 3), (3, 9)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
