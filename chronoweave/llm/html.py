@@ -226,11 +226,11 @@ def surges(weights: list[int], window: int, threshold: float) -> list[tuple[int,
     return out
 
 
-def main_text(page: str | None, window: int = 3, threshold: int = 86, least_share: float = 0.1) -> tuple[str, list[tuple[int, int]]]:
+def main_text(page: str | None, window: int = 3, threshold: int = 86) -> tuple[str, list[tuple[int, int]]]:
     """The main text of a page and the stretches of lines it comes from.
 
     Pages of less text than the threshold are held to half of their largest
-    window. Of several stretches those with least_share of the largest stay.
+    window. Every stretch stays, however short it is beside the largest.
     """
     found = lines(page or "")
     marked = next((m for m in ("article", "main", "named") if any(m in x.within and not x.apart for x in found)), None)
@@ -243,8 +243,6 @@ def main_text(page: str | None, window: int = 3, threshold: int = 86, least_shar
         weights.append(w)
     most = max((sum(weights[i : i + window]) for i in range(len(weights))), default=0)
     parts = surges(weights, window, min(threshold, most / 2))
-    size = [sum(weights[a:b]) for a, b in parts]
-    parts = [p for p, s in zip(parts, size, strict=True) if s >= least_share * max(size)] if marked not in ("article", "main") else parts
     kept = [found[i].text for a, b in parts for i in range(a, b) if not found[i].apart and (marked is None or marked in found[i].within)]
     return " ".join(kept), parts
 

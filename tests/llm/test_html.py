@@ -51,6 +51,14 @@ def test_surge_and_dive_points():
     assert surges([], 3, 86) == [] and surges([0, 0], 3, 0) == []
 
 
+@pytest.mark.parametrize("wrap", ["{}", "<div class=content>{}</div>"])
+def test_a_short_last_section_of_a_long_page_without_marks_is_kept(wrap):
+    body = "<p>A paragraph with enough words to rise over the threshold of a window all by itself, as most of them do.</p>" * 60
+    last = "A last section that is short beside the sixty paragraphs before it, but long enough to rise over the threshold."
+    page = wrap.format(body + "".join(AROUND[4:5] * 3) + f"<p>{last}</p>")
+    assert main_text(page)[0].endswith("as most of them do. " + last)
+
+
 def test_lines_tell_links_from_text():
     found = lines("<p>ab <a href=x>cdef</a> gh</p><nav>menu</nav>")
     assert [(x.text, x.apart) for x in found] == [("ab cdef gh", False), ("menu", True)] and found[0].plain == 4
