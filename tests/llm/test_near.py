@@ -139,6 +139,17 @@ def test_crowds_are_split_without_loss(spark, most):
     assert 20 <= same_groups_as_brute_force(spark, texts, most_in_bucket=most) < 200
 
 
+def test_pairs_are_the_same_where_every_bucket_counts_as_crowded(spark):
+    rng, texts = random.Random(17), []
+    for _ in range(40):
+        ws = some_words(rng, 200)
+        copy = [*ws]
+        for i in rng.sample(range(200), 4):
+            copy[i] = some_words(rng, 1)[0]
+        texts += [" ".join(ws), " ".join(copy)]
+    assert same_groups_as_brute_force(spark, texts, most_in_bucket=1) == 40
+
+
 def test_copies_with_added_or_cut_passages_are_found(spark):
     rng, texts = random.Random(16), []
     for i in range(60):
