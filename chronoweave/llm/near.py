@@ -16,30 +16,33 @@ from chronoweave.llm.session import ship, shuffle_partitions, write_shared
 from chronoweave.llm.tokens import chunks
 
 
-def simhash(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """Fingerprint of a text: the bits set in over half the XXH64 of its word shingles, repeats included.
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle of a text, in order, repeats included.
 
     A-Z are lower-cased, words split at ASCII white space. Fewer words are one
-    shingle; no words give 0.
+    shingle, no words none.
     """
     from xxhash import xxh64_intdigest
 
     ws = text.lower().split()
     if not ws:
-        return 0
-    if len(ws) <= words:
-        return xxh64_intdigest(b" ".join(ws), seed)
+        return np.zeros(0, np.uint64)
     line = b" ".join(ws)
+    if len(ws) <= words:
+        return np.array([xxh64_intdigest(line, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
     starts = [0, *ends[: len(ws) - words].tolist()]
     stops = (ends[words - 1 :] - 1).tolist()
-    n = len(starts)
-    h = np.fromiter((xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Fingerprint of a text: the bits set in over half the hashes of its shingles; of none, 0."""
     counts = np.zeros(64, np.int64)
-    for i in range(0, n, 65_536):
-        bits = np.unpackbits(h[i : i + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for i in range(0, len(hashes), 65_536):
+        bits = np.unpackbits(hashes[i : i + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(0, dtype=np.int64)
-    return int(sum(1 << i for i in np.nonzero(2 * counts > n)[0].tolist()))
+    return int(sum(1 << i for i in np.nonzero(2 * counts > len(hashes))[0].tolist()))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
@@ -49,7 +52,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [simhash(t, words, seed) for _, texts in chunks(batch, 2) for t in texts]
+            own = [simhash(shingle_hashes(t, words, seed)) for _, texts in chunks(batch, 2) for t in texts]
             prints = pa.array(np.array(own, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints], ["key", "text_key", "fingerprint"])
 
@@ -178,13 +181,6 @@ def shingles(text: bytes, words: int) -> set[bytes]:
     return {b" ".join(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1))} if ws else set()
 
 
-def shingle_hashes(text: bytes, words: int) -> np.ndarray:
-    """XXH64 of the different word shingles of a text, sorted."""
-    from xxhash import xxh64_intdigest
-
-    return np.unique(np.fromiter((xxh64_intdigest(s) for s in shingles(text, words)), np.uint64))
-
-
 #: Longs of a sketch.
 _SKETCH = 8
 
@@ -196,7 +192,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     differ in at least as many hashes as their sketches in bits.
     """
     odd = np.bincount((hashes & np.uint64(64 * _SKETCH - 1)).astype(np.int64), minlength=64 * _SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
 def rare_first(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -207,7 +203,7 @@ def rare_first(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.n
     return hashes[np.argsort(np.where(common[at] == hashes, rank[at], 0), kind="stable")]
 
 
-def _common(rows: DataFrame, words: int, most_texts: int = 20_000, least_seen: int = 5, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def _common(rows: DataFrame, words: int, most_texts: int = 5_000, least_seen: int = 5, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of shingles that many texts have, sorted, and their ranks by how many, from a bounded sample.
 
     They only set an order, and any order gives the same results.
@@ -271,11 +267,13 @@ def similar_texts(
     (Jaccard); texts of no words are like each other. A text is a node however
     many rows have it; component_id is the smallest key of a group.
 
-    Candidates are found by prefixes: with the shingles of all texts in one
-    order, rare ones first, two alike texts share one of the first
-    n - ceil(least * n) + 1 of each (n: its shingles), so none is missed. Every
-    pair is verified on the whole texts before it links. First each shingle's
-    texts are compared with the least of them. Then all pairs under a shingle that
+    Candidates come from the Golay keys of the SimHash fingerprints, as in
+    near_duplicates(), and from prefixes, since two texts that share 0.8 may well
+    differ in more bits than 4: with the shingles of all texts in one order, rare
+    ones first, two alike texts share one of the first n - ceil(least * n) + 1
+    of each (n: its shingles), so none is missed. Every pair is verified on the
+    whole texts before it links. First fingerprints' links and each shingle's
+    texts with the least of them are compared. Then all pairs under a shingle that
     are not yet in one group are, but for those that sizes, places or sketches
     rule out; a shingle of more than most_in_bucket texts is dealt out as pairs of
     blocks, which changes no result.
@@ -287,25 +285,43 @@ def similar_texts(
     own = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("text_key"), body.alias("text"))
     sent = spark.sparkContext.broadcast(_common(own, words))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = sent.value
         for batch in batches:
             for first, texts in chunks(batch, 2):
-                sizes, bits, ks = [], [], []
+                prints, sizes, bits, ks = [], [], [], []
                 for t in texts:
-                    h = shingle_hashes(t, words)
+                    every = shingle_hashes(t, words)
+                    h = np.unique(every)
                     n = len(h)
+                    prints.append(simhash(every))
                     sizes.append(n)
                     bits.append(sketch(h))
                     ks.append(rare_first(h, common, rank)[: n - math.ceil(least * n - 1e-9) + 1].view(np.int64) if n else np.zeros(1, np.int64))
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (bits, ks)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array((np.concatenate(x) if x else np.zeros(0, np.int64)).view(np.int64))) for x in (bits, ks)]
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), *lists], ["key", "text_key", "size", "bits", "ks"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *lists], ["key", "text_key", "fingerprint", "size", "bits", "ks"]
+                )
+
+    rows = write_shared(own.mapInArrow(read, f"key {kind}, text_key long, fingerprint long, size long, bits array<long>, ks array<long>"), "prefixes")
+
+    # by fingerprints: those that link, and the texts of one fingerprint, each with the least text of a fingerprint
+    prints = write_shared(rows.groupBy("fingerprint").agg(F.min("text_key").alias("hub")), "prints")
+    x, y = (prints.select(F.col("fingerprint").alias(c), F.col("hub").alias(h)) for c, h in (("a", "x"), ("b", "y")))
+    by_print = links(prints, most_in_bucket).join(x, "a").join(y, "b").select("x", "y")
+    one_print = rows.join(prints, "fingerprint").where("hub <> text_key").select(F.col("hub").alias("x"), F.col("text_key").alias("y"))
 
-    rows = write_shared(own.mapInArrow(prefixes, f"key {kind}, text_key long, size long, bits array<long>, ks array<long>"), "prefixes")
-    dealt = rows.select(F.col("text_key").alias("t"), "size", F.posexplode("ks").alias("place", "k"))
+    # by prefixes: the texts of each shingle that several have, with the least of them
+    dealt = rows.select(F.col("text_key").alias("t"), F.posexplode("ks").alias("place", "k"), "size")
+    dealt = dealt.select("k", "t", F.shiftleft("size", 32).bitwiseOR(F.col("place").cast("long")).alias("at"))  # a row for each of a fifth of all words: kept small
     shared = dealt.groupBy("k").agg(F.min("t").alias("hub"), F.max("t").alias("last")).where("hub <> last").select("k", "hub")
-    met = write_shared(dealt.join(shared, "k"), "met")
+    size, place = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit((1 << 32) - 1))
+    met = write_shared(dealt.join(shared, "k").select("k", "hub", "t", size.alias("size"), place.alias("place")), "met")
+    by_hub = met.where("t <> hub").select(F.col("hub").alias("x"), F.col("t").alias("y"))
+
+    sketches = rows.select("text_key", "size", "bits").dropDuplicates(["text_key"])
+    bound = (1 - least) / (1 + least)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,26 +340,24 @@ def similar_texts(
         x, y = (texts.select(F.col("text_key").alias(c), F.col("text").alias(n)) for c, n in (("a", "x"), ("b", "y")))
         return write_shared(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
 
-    sketches = rows.select("text_key", "size", "bits").dropDuplicates(["text_key"])
     x, y = (sketches.select(F.col("text_key").alias(c), *(F.col(n).alias(f"{n}_{c}") for n in ("size", "bits"))) for c in "ab")
     apart = reduce(lambda u, v: u + v, (F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(_SKETCH)))
-    hubs = met.where("t <> hub").select(F.col("hub").alias("a"), F.col("t").alias("b")).distinct()
-    hubs = hubs.join(x, "a").join(y, "b").where(apart <= F.lit((1 - least) / (1 + least)) * (F.col("size_a") + F.col("size_b")) + 1e-9).select("a", "b")
-    found = verified(write_shared(hubs, "hub-pairs"))
+    first = by_print.unionByName(one_print).unionByName(by_hub).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    first = first.join(x, "a").join(y, "b").where(apart <= F.lit(bound) * (F.col("size_a") + F.col("size_b")) + 1e-9).select("a", "b")
+    found = verified(write_shared(first, "first-pairs"))
 
     def rooted(of: DataFrame, name: str) -> DataFrame:
         roots = components(found).withColumnRenamed("node", name)
         return of.join(roots, name, "left").withColumn("root", F.coalesce("root", name))
 
-    split = rooted(met.drop("hub"), "t").distinct()
-    split = write_shared(split, "met-rooted")
+    split = write_shared(rooted(met.drop("hub"), "t").distinct(), "met-rooted")
     mixed = split.groupBy("k").agg(F.min("root").alias("u"), F.max("root").alias("v"), F.count("*").alias("n")).where("u <> v")
     blocks = F.when(F.col("n") > most_in_bucket, F.ceil(F.col("n") * 2 / most_in_bucket)).otherwise(1).cast("int")
     left = split.join(mixed.select("k", blocks.alias("blocks")), "k").withColumn("own", F.pmod(F.xxhash64("t"), "blocks").cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.join(sketches.select(F.col("text_key").alias("t"), "bits"), "t").select(
         "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("block"), "t", "root", "size", F.col("place").cast("long").alias("place"), "bits",
+        F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("block"), "t", "root", "size", "place", "bits",
     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +378,7 @@ def similar_texts(
     def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
         k, i, j = (table.column(c).to_numpy() for c in range(3))
         group = np.cumsum(np.r_[0, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        bits = table.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, _SKETCH)
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _SKETCH)  # unsigned: numpy counts the bits of absolute values
         yield from _pairs(group, table.column("block").to_numpy(), {c: table.column(c).to_numpy() for c in ("t", "root", "size", "place")}, bits, least)
 
     rest = left.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(meet, "a long, b long").distinct()

@@ -32,15 +32,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark drops the shuffle files of a query when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs one read, no recomputation,
-    and two later uses see the same rows.
+    and two later uses see the same rows. The shuffle files of the write go
+    when it ends, so a chain of steps holds those of one step at a time.
     """
     spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
+    path, was = new_folder(spark, name), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
