@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -181,20 +180,26 @@ def shingles(text: bytes, words: int) -> set[bytes]:
     return {b" ".join(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1))} if ws else set()
 
 
-#: Longs of a sketch.
+#: Longs of the shortest sketch.
 _SKETCH = 8
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """512 bits: of how many hashes there are in each of 512 cells, odd or even.
+    """Of how many hashes there are in each of 512 or more cells (a power of two, two or more for each hash), odd or even: a bit each.
 
     A hash that only one of two sets has changes one bit at most, so two sets
     differ in at least as many hashes as their sketches in bits.
     """
-    odd = np.bincount((hashes & np.uint64(64 * _SKETCH - 1)).astype(np.int64), minlength=64 * _SKETCH) & 1
+    cells = max(64 * _SKETCH, 1 << (2 * len(hashes)).bit_length())
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def folded(bits: np.ndarray, longs: int) -> np.ndarray:
+    """A sketch as one of fewer cells: cells that fall together add up."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, longs), axis=0)
+
+
 def rare_first(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Sorted hashes in the order of the corpus: those not in common (sorted) by hash, then the others by rank."""
     if not len(common):
@@ -224,7 +229,7 @@ def _common(rows: DataFrame, words: int, most_texts: int = 5_000, least_seen: in
 
 
 def _pairs(group: np.ndarray, block: np.ndarray, rows: dict[str, np.ndarray], bits: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of a group (neighbours in order of group) with different roots that may be alike by their sizes, places and sketches.
+    """Pairs (the smaller as b) of rows of a group (neighbours in order of group) with different roots that may be alike by their sizes, places and sketches.
 
     In groups of two blocks (block: 0 or 1, and -1 where there is only one) only rows of different blocks meet.
     """
@@ -241,7 +246,7 @@ def _pairs(group: np.ndarray, block: np.ndarray, rows: dict[str, np.ndarray], bi
         i, j, both = i[may], j[may], both[may]
         may = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= (1 - least) / (1 + least) * both + 1e-9
         i, j = i[may], j[may]
-        found.append(np.stack([np.minimum(t[i], t[j]), np.maximum(t[i], t[j])], 1))
+        found.append(np.stack([np.maximum(t[i], t[j]), np.minimum(t[i], t[j])], 1))
         n += len(i)
         if n > 50_000:
             a, b = np.unique(np.concatenate(found), axis=0).T
@@ -289,7 +294,7 @@ def similar_texts(
         common, rank = sent.value
         for batch in batches:
             for first, texts in chunks(batch, 2):
-                prints, sizes, bits, ks = [], [], [], []
+                prints, sizes, short, bits, ks = [], [], [], [], []
                 for t in texts:
                     every = shingle_hashes(t, words)
                     h = np.unique(every)
@@ -297,14 +302,15 @@ def similar_texts(
                     prints.append(simhash(every))
                     sizes.append(n)
                     bits.append(sketch(h))
+                    short.append(folded(bits[-1], _SKETCH))
                     ks.append(rare_first(h, common, rank)[: n - math.ceil(least * n - 1e-9) + 1].view(np.int64) if n else np.zeros(1, np.int64))
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array((np.concatenate(x) if x else np.zeros(0, np.int64)).view(np.int64))) for x in (bits, ks)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array((np.concatenate(x) if x else np.zeros(0, np.int64)).view(np.int64))) for x in (short, bits, ks)]
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *lists], ["key", "text_key", "fingerprint", "size", "bits", "ks"]
+                    [part.column(0), part.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *lists], ["key", "text_key", "fingerprint", "size", "short", "bits", "ks"]
                 )
 
-    rows = write_shared(own.mapInArrow(read, f"key {kind}, text_key long, fingerprint long, size long, bits array<long>, ks array<long>"), "prefixes")
+    rows = write_shared(own.mapInArrow(read, f"key {kind}, text_key long, fingerprint long, size long, short array<long>, bits array<long>, ks array<long>"), "prefixes")
 
     # by fingerprints: those that link, and the texts of one fingerprint, each with the least text of a fingerprint
     prints = write_shared(rows.groupBy("fingerprint").agg(F.min("text_key").alias("hub")), "prints")
@@ -320,31 +326,44 @@ def similar_texts(
     met = write_shared(dealt.join(shared, "k").select("k", "hub", "t", size.alias("size"), place.alias("place")), "met")
     by_hub = met.where("t <> hub").select(F.col("hub").alias("x"), F.col("t").alias("y"))
 
-    sketches = rows.select("text_key", "size", "bits").dropDuplicates(["text_key"])
-    bound = (1 - least) / (1 + least)
+    sketches = rows.select("text_key", "size", "short", "bits").dropDuplicates(["text_key"])
+    x, y = (sketches.select(F.col("text_key").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+            a, b = ((v.flatten().to_numpy().view(np.uint64), v.offsets.to_numpy() - v.offsets[0].as_py()) for v in (batch.column(4), batch.column(5)))
+            keep = []
+            for i, n in enumerate(both):
+                u, v = (w[at[i] : at[i + 1]] for w, at in (a, b))
+                longs = min(len(u), len(v))
+                keep.append(int(np.bitwise_count(folded(u, longs) ^ folded(v, longs)).sum()) <= (1 - least) / (1 + least) * n + 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, t = None, set()
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = shingles(x.as_py().encode(), words), shingles(y.as_py().encode(), words)
+            for x, b, y in zip(batch.column(2), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                if b != last:  # rows come in order of b, the hub of many
+                    last, t = b, shingles(y.as_py().encode(), words)
+                s = shingles(x.as_py().encode(), words)
                 keep.append(len(s & t) >= least * len(s | t))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose texts are alike."""
+        """Pairs (a, b) whose texts are alike: those that their sketches allow, by the whole texts."""
+        pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(possible, "a long, b long")
+        pairs = write_shared(pairs, "possible-pairs")
         wanted = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
         if wanted.limit(most_sent + 1).count() <= most_sent:  # 8 bytes each; more are joined by a shuffle
             wanted = F.broadcast(wanted)
         texts = write_shared(own.select("text_key", "text").join(wanted, "text_key", "left_semi"), "compared").dropDuplicates(["text_key"])
-        x, y = (texts.select(F.col("text_key").alias(c), F.col("text").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-        return write_shared(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
+        s, t = (texts.select(F.col("text_key").alias(c), F.col("text").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+        return write_shared(pairs.join(s, "a").join(t, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
 
-    x, y = (sketches.select(F.col("text_key").alias(c), *(F.col(n).alias(f"{n}_{c}") for n in ("size", "bits"))) for c in "ab")
-    apart = reduce(lambda u, v: u + v, (F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(_SKETCH)))
-    first = by_print.unionByName(one_print).unionByName(by_hub).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    first = first.join(x, "a").join(y, "b").where(apart <= F.lit(bound) * (F.col("size_a") + F.col("size_b")) + 1e-9).select("a", "b")
-    found = verified(write_shared(first, "first-pairs"))
+    first = by_print.unionByName(one_print).unionByName(by_hub).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    found = verified(first)
 
     def rooted(of: DataFrame, name: str) -> DataFrame:
         roots = components(found).withColumnRenamed("node", name)
@@ -355,9 +374,9 @@ def similar_texts(
     blocks = F.when(F.col("n") > most_in_bucket, F.ceil(F.col("n") * 2 / most_in_bucket)).otherwise(1).cast("int")
     left = split.join(mixed.select("k", blocks.alias("blocks")), "k").withColumn("own", F.pmod(F.xxhash64("t"), "blocks").cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.join(sketches.select(F.col("text_key").alias("t"), "bits"), "t").select(
+    left = left.join(sketches.select(F.col("text_key").alias("t"), "short"), "t").select(
         "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("block"), "t", "root", "size", "place", "bits",
+        F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("block"), "t", "root", "size", "place", "short",
     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,11 +397,11 @@ def similar_texts(
     def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
         k, i, j = (table.column(c).to_numpy() for c in range(3))
         group = np.cumsum(np.r_[0, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _SKETCH)  # unsigned: numpy counts the bits of absolute values
+        bits = table.column("short").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _SKETCH)  # unsigned: numpy counts the bits of absolute values
         yield from _pairs(group, table.column("block").to_numpy(), {c: table.column(c).to_numpy() for c in ("t", "root", "size", "place")}, bits, least)
 
     rest = left.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(meet, "a long, b long").distinct()
-    found = write_shared(found.unionByName(verified(write_shared(rest, "rest-pairs"))), "alike")
+    found = write_shared(found.unionByName(verified(rest)), "alike")
     named = write_shared(rooted(rows.select("key", "text_key"), "text_key"), "rooted")
     least_key = named.groupBy("root").agg(F.min("key").alias("component_id"))
     return named.join(least_key, "root").select(F.col("key").alias(key), "text_key", "component_id")

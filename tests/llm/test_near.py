@@ -7,7 +7,7 @@ from xxhash import xxh64_intdigest
 
 from chronoweave.llm import golay
 from chronoweave.llm.components import components
-from chronoweave.llm.near import near_duplicates, shingles, similar_texts
+from chronoweave.llm.near import _pairs, folded, near_duplicates, shingles, similar_texts, sketch
 
 
 def brute_print(text):
@@ -168,3 +168,35 @@ def test_components_of_chains_stars_and_loops(spark):
 
 def test_empty_table(no_docs):
     assert near_duplicates(no_docs).collect() == [] and similar_texts(no_docs).collect() == []
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_hashes():
+    rng = np.random.default_rng(5)
+    for n, more, less in ((40, 3, 2), (400, 40, 0), (3000, 900, 30), (700, 0, 650)):
+        h = rng.integers(0, 2**63, n + more, dtype=np.uint64) * 2 + 1
+        a, b = sketch(h[less:]), sketch(h[:n])
+        longs = min(len(a), len(b))
+        apart = int(np.bitwise_count(folded(a, longs) ^ folded(b, longs)).sum())
+        assert (0 if less > n / 2 else 0.7 * (more + less)) <= apart <= more + less and (folded(a, 8) == folded(folded(a, longs), 8)).all()
+
+
+def test_pairs_of_a_crowd_are_ruled_out_by_true_distances_only():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64) * 2
+    sets = [np.unique(np.r_[base[: 300 - d], rng.integers(0, 2**63, d, dtype=np.uint64)]) for d in (0, 5, 10, 20, 30)]
+    rows = {"t": np.arange(5), "root": np.arange(5), "size": np.full(5, 300), "place": np.zeros(5, np.int64)}
+    found = [p for r in _pairs(np.zeros(5, np.int64), np.full(5, -1), rows, np.stack([folded(sketch(s), 8) for s in sets]), 0.8) for p in zip(*(c.to_pylist() for c in r.columns), strict=True)]
+    assert len(found) == 10  # all share 0.8 or more
+
+
+def test_links_that_no_hub_sees_are_found(spark):
+    """Families of many members at 0.7 to 1 of the family's text: most links are between members that share no hub."""
+    rng, texts = random.Random(18), []
+    for _ in range(12):
+        base = some_words(rng, 150)
+        for _ in range(12):
+            ws = [*base]
+            for i in rng.sample(range(150), rng.randint(1, 8)):
+                ws[i] = some_words(rng, 1)[0]
+            texts.append(" ".join(ws))
+    assert same_groups_as_brute_force(spark, texts) > 100
