@@ -1,13 +1,14 @@
 """Toxicity: a factorization machine over hashed terms.
 
-score(x) = sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j>) over the set of hashed
-terms in a text: words, and the first letters of words, which inflected forms
-share. The pair term lets two terms mean more together than alone.
-
-The terms that may carry weight are chosen by counts over all labelled
-training rows: those seen often enough whose share of toxic texts differs from
-the rest beyond chance. The machine is then fitted to a bounded sample of the
-training rows; scoring reads every text whole.
+score(x) = sigmoid(w0 + sum_i x_i w_i + sum_{i<j} x_i x_j <v_i, v_j>) over the
+hashed terms in a text: words, and the first letters of words, which inflected
+forms share. The pair term lets two terms mean more together than alone.
+
+Every term that enough rows of the sample have gets a weight and factors, also
+those that mean nothing alone. Their values differ: a term whose share of toxic
+rows differs from the rest beyond chance counts 1, and the others share a fixed
+length between them, so a long text is no stronger than a short one. The machine
+is fitted to a bounded sample of the training rows; scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -46,44 +47,72 @@ def terms(text: bytes, buckets: int) -> set[int]:
 
 @dataclass
 class Machine:
-    """w0, and weights and factors of the chosen buckets; place[b] is a bucket's row or the last, all zero."""
+    """w0, and weights and factors of the terms it knows; place[b] is a bucket's row, -1 for one it doesn't know."""
 
     buckets: int
     place: np.ndarray
     w0: float
+    marked: np.ndarray
     w: np.ndarray
     v: np.ndarray
+    rest: float
 
     def score(self, slots: set[int]) -> float:
-        rows = self.place[np.fromiter(slots, np.int64, len(slots))] if slots else np.zeros(0, np.int64)
-        rows = rows[rows < len(self.w) - 1]
-        return float(1 / (1 + np.exp(-_raw(self.w0, self.w[rows], self.v[rows]))))
+        rows = self.place[np.fromiter(slots, np.int64, len(slots))]
+        rows = rows[rows >= 0]
+        x = term_values(self.marked[rows], self.rest)
+        return float(1 / (1 + np.exp(-_raw(self.w0, self.w[rows], self.v[rows], x))))
 
 
-def _raw(w0: float, w: np.ndarray, v: np.ndarray) -> float:
-    s = v.sum(0)
-    return float(np.clip(w0 + w.sum() + 0.5 * ((s * s).sum() - (v * v).sum()), -30, 30))
+def term_values(marked: np.ndarray, rest: float) -> np.ndarray:
+    """1 for marked terms; the others have the length `rest` together."""
+    return np.where(marked, 1.0, rest / np.sqrt(max(1, int((~marked).sum())))).astype(np.float32)
 
 
-def fit_rows(rows: list[tuple[np.ndarray, int]], n: int, factors: int, least_steps: int, rate: float, decay: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """AdaGrad on log loss over (chosen terms, label): 5 to 60 passes, for least_steps steps if that allows."""
-    rng = np.random.default_rng(seed)
-    w, v = np.zeros(n), rng.normal(0, 0.02, (n, factors))
-    share = np.clip(np.mean([y for _, y in rows]) if rows else 0.5, 1e-3, 1 - 1e-3)
+def _raw(w0: float, w: np.ndarray, v: np.ndarray, x: np.ndarray) -> float:
+    vx = v * x[:, None]
+    s = vx.sum(0)
+    return float(np.clip(w0 + x @ w + 0.5 * (s @ s - (vx * vx).sum()), -30, 30))
+
+
+def marked_terms(rows: list[np.ndarray], labels: np.ndarray, buckets: int, least_seen: int, least_z: float) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the terms that least_seen rows have, and which of them are marked.
+
+    Marked: among its rows the share of label 1 is least_z standard deviations
+    or more from that of all rows.
+    """
+    seen = np.zeros((2, buckets), np.int64)
+    for x, y in zip(rows, labels, strict=True):
+        seen[y, x] += 1
+    both = seen.sum(0)
+    known = np.nonzero(both >= least_seen)[0]
+    p = labels.mean()
+    z = np.abs(seen[1, known] - both[known] * p) / np.sqrt(both[known] * p * (1 - p))
+    return known, z >= least_z
+
+
+def fit_rows(
+    rows: list[np.ndarray], labels: np.ndarray, marked: np.ndarray, factors: int, least_steps: int, rate: float, decay: float, rest: float, seed: int
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """w0, w, v by AdaGrad on log loss over rows of known terms: 3 to 60 passes, for least_steps steps if that allows."""
+    rng, n = np.random.default_rng(seed), len(marked)
+    w, v = np.zeros(n, np.float32), rng.normal(0, 0.02, (n, factors)).astype(np.float32)
+    share = np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3)
     w0 = float(np.log(share / (1 - share)))
-    g0, gw, gv = 1.0, np.ones(n), np.ones((n, factors))
-    for _ in range(min(60, max(5, -(-least_steps // max(1, len(rows)))))):
+    g0, gw, gv = 1.0, np.ones(n, np.float32), np.ones((n, factors), np.float32)
+    for _ in range(min(60, max(3, -(-least_steps // max(1, len(rows)))))):
         for i in rng.permutation(len(rows)):
-            x, y = rows[i]
-            vx = v[x]
-            d = 1 / (1 + np.exp(-_raw(w0, w[x], vx))) - y
-            dw, dv = d + decay * w[x], d * (vx.sum(0) - vx) + decay * vx
+            r = rows[i]
+            x, wr, vr = term_values(marked[r], rest), w[r], v[r]
+            d = 1 / (1 + np.exp(-_raw(w0, wr, vr, x))) - labels[i]
+            vx = vr * x[:, None]
+            dw, dv = d * x + decay * wr, d * x[:, None] * (vx.sum(0) - vx) + decay * vr
             g0 += d * d
-            gw[x] += dw * dw
-            gv[x] += dv * dv
             w0 -= rate * d / np.sqrt(g0)
-            w[x] -= rate * dw / np.sqrt(gw[x])
-            v[x] -= rate * dv / np.sqrt(gv[x])
+            gw[r] = a = gw[r] + dw * dw
+            w[r] = wr - rate * dw / np.sqrt(a)
+            gv[r] = a = gv[r] + dv * dv
+            v[r] = vr - rate * dv / np.sqrt(a)
     return w0, w, v
 
 
@@ -93,87 +122,67 @@ def fit(
     label: str = "toxic",
     buckets: int = 1 << 18,
     most_rows: int = 8_000,
-    most_terms: int = 4_096,
     least_seen: int = 5,
     least_z: float = 4.0,
     factors: int = 4,
-    least_steps: int = 120_000,
+    least_steps: int = 40_000,
     rate: float = 0.3,
     decay: float = 1e-4,
+    rest: float = 0.3,
     seed: int = 7,
 ) -> Machine:
     """Learn from the rows of labelled (text and label 0 or 1; others are left out).
 
-    Term counts cover every row and are combined in the tasks; at most
-    most_terms terms come to the driver. The fit itself sees at most about
-    most_rows rows of each label, taken by a hash of their texts, and runs in one
-    task: a bound that doesn't grow with the input. With no rows or one label
-    only, the machine gives that label's share for every text.
+    The fit sees at most about most_rows different texts of each label, taken by a
+    hash of the texts, and runs in one task: a bound that doesn't grow with the
+    input, nor do the terms it counts there. The share of label 1 is that of all
+    rows. With no rows or one label only, the machine gives that label's share for
+    every text.
     """
     spark = labelled.sparkSession
     ship(spark)
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n = totals.get(1, 0), sum(totals.values())
-    empty = Machine(buckets, np.zeros(buckets, np.int32), float(np.log((n1 + 1) / (n - n1 + 1))), np.zeros(1), np.zeros((1, factors)))
+    empty = Machine(buckets, np.full(buckets, -1, np.int32), float(np.log((n1 + 1) / (n - n1 + 1))), np.zeros(0, bool), np.zeros(0, np.float32), np.zeros((0, factors), np.float32), rest)
     if not n1 or n1 == n:
         return empty
+    cut = F.when(F.col("y") == 1, min(1.0, most_rows / n1)).otherwise(min(1.0, most_rows / (n - n1)))
+    sample = rows.withColumn("o", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(seed))).where(F.pmod("o", F.lit(1_000_000)) < cut * 1_000_000)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, buckets), np.int64)
+    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ys = batch.column(1).to_pylist()
             for first, texts in chunks(batch, 0):
-                for t, y in zip(texts, ys[first : first + len(texts)], strict=True):
-                    own = terms(t, buckets)
-                    seen[y, np.fromiter(own, np.int64, len(own))] += 1
-        b = np.nonzero(seen.any(0))[0]
-        for i in range(0, len(b), 20_000):
-            own = b[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen[0, own]), pa.array(seen[1, own])], ["b", "n0", "n1"])
-
-    counts = rows.mapInArrow(count, "b long, n0 long, n1 long").groupBy("b").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
-    p = n1 / n
-    seen = F.col("c0") + F.col("c1")
-    z = (F.col("c1") - seen * p) / F.sqrt(seen * p * (1 - p))
-    chosen = counts.where(seen >= least_seen).withColumn("z", F.abs(z)).where(F.col("z") >= least_z)
-    best = sorted(r["b"] for r in chosen.orderBy(F.desc("z"), "b").limit(most_terms).collect())
-    if not best:
-        return empty
-    place = np.full(buckets, len(best), np.int32)
-    place[best] = np.arange(len(best))
-
-    share = {y: min(1.0, most_rows / totals[y]) for y in totals}
-    cut = F.when(F.col("y") == 1, share[1]).otherwise(share[0])
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < cut * 1_000_000)
-    sent = spark.sparkContext.broadcast(place)
-
-    def chosen_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = sent.value
-        for batch in batches:
-            ys = batch.column(1).to_pylist()
-            for first, texts in chunks(batch, 0):
-                xs = []
-                for t in texts:
-                    own = terms(t, buckets)
-                    at = np.unique(place[np.fromiter(own, np.int64, len(own))])
-                    xs.append(at[at < len(best)].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.int32())), pa.array(ys[first : first + len(texts)], pa.int32()), pa.array(texts, pa.binary())], ["x", "y", "t"])
+                xs = [np.sort(np.fromiter(terms(t, buckets), np.int32)) for t in texts]
+                x = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate(xs), pa.int32()))
+                part = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([x, part.column(1), part.column(2)], ["x", "y", "o"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [(np.array(x, np.int64), y) for batch in batches for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        # rows dealt by label share: weigh the intercept back to the corpus afterwards
-        w0, w, v = fit_rows(own, len(best), factors, least_steps, rate, decay, seed)
-        kept = np.mean([y for _, y in own]) if own else p
-        if 0 < kept < 1:
-            w0 += np.log(p / (1 - p)) - np.log(kept / (1 - kept))
-        yield pa.RecordBatch.from_arrays([pa.array([w0]), pa.array([w.tolist()]), pa.array([v.ravel().tolist()])], ["w0", "w", "v"])
-
-    bounded = sample.mapInArrow(chosen_terms, "x array<int>, y int, t binary").select("x", "y", F.xxhash64("t").alias("o"))
+        own, ys = [], []
+        for batch in batches:
+            own += [x.values.to_numpy() for x in batch.column(0)]
+            ys += batch.column(1).to_pylist()
+        labels = np.array(ys, np.int64)
+        if len({*ys}) < 2:
+            return
+        known, marked = marked_terms(own, labels, buckets, least_seen, least_z)
+        place = np.full(buckets, -1, np.int32)
+        place[known] = np.arange(len(known))
+        own = [r[r >= 0] for r in (place[x] for x in own)]
+        w0, w, v = fit_rows(own, labels, marked, factors, least_steps, rate, decay, rest, seed)
+        kept = labels.mean()  # rows dealt by label share: weigh the intercept back to the corpus
+        w0 += np.log(n1 / (n - n1)) - np.log(kept / (1 - kept))
+        yield pa.RecordBatch.from_arrays([pa.array([w0]), *(pa.array([c.tobytes()], pa.binary()) for c in (place, marked, w, v))], ["w0", "place", "marked", "w", "v"])
+
+    # a text and label once, so that a crowd of copies stays within the bound
+    bounded = sample.dropDuplicates(["o", "y"]).select("text", "y", "o").mapInArrow(terms_of, "x array<int>, y int, o long")
     one = bounded.repartitionByRange(1, "o").sortWithinPartitions("o", "y").select("x", "y")
-    r = one.mapInArrow(learn, "w0 double, w array<double>, v array<double>").first()
-    w, v = np.array(r["w"]), np.array(r["v"]).reshape(-1, factors)
-    return Machine(buckets, place, r["w0"], np.append(w, 0.0), np.vstack([v, np.zeros(factors)]))
+    r = one.mapInArrow(learn, "w0 double, place binary, marked binary, w binary, v binary").first()
+    if r is None:
+        return empty
+    w, v = np.frombuffer(r["w"], np.float32), np.frombuffer(r["v"], np.float32).reshape(-1, factors)
+    return Machine(buckets, np.frombuffer(r["place"], np.int32), r["w0"], np.frombuffer(r["marked"], bool), w, v, rest)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> tuple[DataFrame, str]:

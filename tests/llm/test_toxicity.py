@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from chronoweave.llm import toxicity as X
 
 
-def test_pairs_are_learned_that_weights_alone_cannot_tell():
-    rng = np.random.default_rng(2)
-    rows = []
-    for _ in range(1500):
-        insult, group = rng.integers(0, 2, 2)
-        x = [0] * 0 + ([0] if insult else []) + ([1] if group else []) + [int(rng.integers(2, 6))]
-        rows.append((np.array(x), int(insult == group)))  # an exclusive-or: no additive rule beats chance
-    w0, w, v = X.fit_rows(rows, 6, 4, 60_000, 0.3, 1e-4, 3)
-    right = np.mean([(X._raw(w0, w[x], v[x]) > 0) == y for x, y in rows])
-    assert right > 0.95
+def test_fit_learns_a_pair_that_no_term_alone_tells(spark):
+    rng, rows = random.Random(2), []
+    for i in range(2000):
+        insult, group = rng.randint(0, 1), rng.randint(0, 1)
+        ws = [f"w{rng.randrange(300)}x" for _ in range(12)] + ["insult"] * insult + ["group"] * group
+        rng.shuffle(ws)
+        rows.append((" ".join(ws), int(insult == group)))  # an exclusive-or: no additive rule beats chance
+    machine = X.fit(spark.createDataFrame(rows[:1500], "text string, toxic int"))
+    right = [(machine.score(X.terms(t.encode(), machine.buckets)) > 0.5) == y for t, y in rows[1500:]]
+    assert np.mean(right) > 0.95
+
+
+def test_a_crowd_of_copies_stays_within_the_sample(spark):
+    rng = random.Random(3)
+    rows = [(f"fine word{rng.randrange(50)}", 0) for _ in range(300)] + [("vile thing", 1)] * 400 + [(f"vile word{rng.randrange(50)}", 1) for _ in range(60)]
+    machine = X.fit(spark.createDataFrame(rows, "text string, toxic int"), most_rows=200)
+    said = [machine.score(X.terms(t, machine.buckets)) for t in (b"vile word7", b"fine word7")]
+    assert said[0] > 0.5 > said[1]
 
 
 @pytest.fixture(scope="module")
