@@ -80,13 +80,12 @@ RELS_SQL = """rels AS (
 G = f"WITH {NODES_SQL}, {RELS_SQL} "
 
 
-def few_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A parameter of traversal queries: the customers of one nation."""
-    g = from_tables(spark, sf_dir)
-    return g.rels.where("type = 'CUSTOMER_IN' AND dst = 25").select(F.col("src").alias("id"))
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the traversal queries start: every customer."""
+    return S.nodes_by_label(from_tables(spark, sf_dir), "Customer").select("id")
 
 
-FEW_SQL = "few AS (SELECT src AS id FROM rels WHERE type = 'CUSTOMER_IN' AND dst = 25)"
+STARTS_SQL = "starts AS (SELECT src AS id FROM rels WHERE type = 'CUSTOMER_IN')"  # one for each customer
 
 
 # --- temporal reads ----------------------------------------------------------------------------------------------------
@@ -231,12 +230,12 @@ def region_query(spark, sf_dir):
     return I.region([(history_of(spark, sf_dir), 30, 90), (history_of(spark, sf_dir, "event_type"), "click", "error")], T0, T1, 86_400)
 
 
-#: Writes of the overwrite query: seq, first, last, value; each for every entity divisible by 3, moved on by 1000 seconds an entity.
+#: Writes of the overwrite query: seq, first, last, value; each for every entity, moved on by 1000 seconds an entity.
 WRITES = ((1, T0, T0 + 50_000, 1.0), (2, T0 + 20_000, T0 + 30_000, None), (3, T0 + 25_000, T0 + 600_000, 3.0), (4, T1, NOW, 4.0))
 
 
 def writes(spark, sf_dir):
-    users = points(spark, sf_dir).where("entity % 3 = 0").select("entity").distinct()
+    users = points(spark, sf_dir).select("entity").distinct()
     table = spark.createDataFrame(WRITES, "seq long, st long, et long, value double")
     move = F.col("entity") * 1000
     moved = users.join(F.broadcast(table), how="cross")
@@ -247,7 +246,7 @@ _WRITES_SQL = "w(seq, st0, et0, value) AS (VALUES " + ", ".join(f"({s}::BIGINT,
 
 
 @query(
-    f"WITH {_intervals()}, {_WRITES_SQL}, users AS (SELECT DISTINCT entity FROM iv WHERE entity % 3 = 0), "
+    f"WITH {_intervals()}, {_WRITES_SQL}, users AS (SELECT DISTINCT entity FROM iv), "
     f"every_ AS (SELECT entity, -1 AS seq, st, et, value FROM iv UNION ALL SELECT entity, seq, st0 + entity * 1000, CASE WHEN et0 = {NOW} THEN et0 ELSE et0 + entity * 1000 END, value FROM users, w), "
     f"cuts AS (SELECT entity, st AS a FROM every_ UNION SELECT entity, et + 1 FROM every_ WHERE et < {NOW}), "
     f"parts AS (SELECT entity, a, coalesce(lead(a) OVER (PARTITION BY entity ORDER BY a) - 1, {NOW}) AS b FROM cuts), "
@@ -259,11 +258,11 @@ def overwrite(spark, sf_dir):
 
 
 @query(
-    f"WITH {_intervals()} SELECT entity, st, CASE WHEN st <= {AT} THEN least(et, {AT} - 1) ELSE et END AS et, value FROM iv WHERE st < {AT} AND entity IN (1, 2) UNION ALL SELECT entity, {AT}::BIGINT, {NOW}::BIGINT, 7.0 FROM (VALUES (1::BIGINT), (2::BIGINT)) t(entity)"
+    f"WITH {_intervals()} SELECT entity, st, CASE WHEN entity IN (1, 2) THEN least(et, {AT} - 1) ELSE et END AS et, value FROM iv WHERE st < {AT} OR entity NOT IN (1, 2) UNION ALL SELECT entity, {AT}::BIGINT, {NOW}::BIGINT, 7.0 FROM (VALUES (1::BIGINT), (2::BIGINT)) t(entity)"
 )
 def append_open(spark, sf_dir):
     more = spark.createDataFrame([(1, AT, 7.0), (2, AT, 7.0)], "entity long, t long, value double")
-    return I.append_open(history_of(spark, sf_dir).where("entity IN (1, 2)"), more)
+    return I.append_open(history_of(spark, sf_dir), more)
 
 
 _GROUPS = f"g AS (SELECT row_number() OVER (ORDER BY s) - 1 AS g, s AS g_start, lead(s) OVER (ORDER BY s) - 1 AS g_end FROM (SELECT unnest(generate_series((ceil({T0} / 3600.0) * 3600)::BIGINT, {T1}, {EVERY_HOURS * 3600})) AS s))"
@@ -318,12 +317,12 @@ def earliest_arrival_on(spark, sf_dir):
 
 
 @query(
-    f"WITH {RELS_SQL}, {_TRAVEL}, {FEW_SQL}, hop1 AS (SELECT r.dst AS node, min(greatest(st, 300) + value) AS arrival FROM few JOIN rels r ON r.src = few.id JOIN tt ON tt.entity = r.id WHERE et >= 300 AND greatest(st, 300) <= 2000 GROUP BY 1), "
+    f"WITH {RELS_SQL}, {_TRAVEL}, {STARTS_SQL}, hop1 AS (SELECT r.dst AS node, min(greatest(st, 300) + value) AS arrival FROM starts JOIN rels r ON r.src = starts.id JOIN tt ON tt.entity = r.id WHERE et >= 300 AND greatest(st, 300) <= 2000 GROUP BY 1), "
     "hop2 AS (SELECT r.dst AS node, min(greatest(st, h.arrival) + value) AS arrival FROM hop1 h JOIN rels r ON r.src = h.node JOIN tt ON tt.entity = r.id WHERE et >= h.arrival AND greatest(st, h.arrival) <= 2000 GROUP BY 1) "
-    "SELECT node, min(arrival)::BIGINT AS arrival FROM (SELECT id AS node, 300 AS arrival FROM few UNION ALL SELECT * FROM hop1 UNION ALL SELECT * FROM hop2) GROUP BY node"
+    "SELECT node, min(arrival)::BIGINT AS arrival FROM (SELECT id AS node, 300 AS arrival FROM starts UNION ALL SELECT * FROM hop1 UNION ALL SELECT * FROM hop2) GROUP BY node"
 )
 def reachable_earliest(spark, sf_dir):
-    starts = few_customers(spark, sf_dir).select(F.col("id").alias("node"), F.lit(300).alias("t"))
+    starts = customers(spark, sf_dir).select(F.col("id").alias("node"), F.lit(300).alias("t"))
     rels = from_tables(spark, sf_dir).rels.where("type IN ('CUSTOMER_IN', 'IN_REGION', 'PLACED')")
     return traversal.earliest_arrival(starts, rels, travel_times(spark, sf_dir), 2000)
 
@@ -411,29 +410,29 @@ def project_endpoints(spark, sf_dir):
     return E.project_endpoints(g.rels.select(F.col("id").alias("r")), g.rels, "r", "a", "b", directed=False, types=("IN_REGION",))
 
 
-_VAR = f"{NODES_SQL}, {RELS_SQL}, {FEW_SQL}, walk(start, here, depth, nodes, rels) AS (SELECT id, id, 0, [id], []::BIGINT[] FROM few UNION ALL SELECT start, r.dst, depth + 1, list_append(nodes, r.dst), list_append(w.rels, r.id) FROM walk w JOIN rels r ON r.src = w.here WHERE depth < 3 AND NOT list_contains(w.rels, r.id))"
+_VAR = f"{NODES_SQL}, {RELS_SQL}, {STARTS_SQL}, walk(start, here, depth, nodes, rels) AS (SELECT id, id, 0, [id], []::BIGINT[] FROM starts UNION ALL SELECT start, r.dst, depth + 1, list_append(nodes, r.dst), list_append(w.rels, r.id) FROM walk w JOIN rels r ON r.src = w.here WHERE depth < 3 AND NOT list_contains(w.rels, r.id))"
 
 
 @query(f"WITH RECURSIVE {_VAR} SELECT start, here AS \"end\", len(rels)::INTEGER AS hops, array_to_string(nodes, ',') AS nodes FROM walk WHERE depth BETWEEN 1 AND 3")
 def var_expand(spark, sf_dir):
-    found = E.var_expand(few_customers(spark, sf_dir).select(F.col("id").alias("start")), from_tables(spark, sf_dir).rels, "start", "end", 1, 3)
+    found = E.var_expand(customers(spark, sf_dir).select(F.col("id").alias("start")), from_tables(spark, sf_dir).rels, "start", "end", 1, 3)
     return found.select("start", "end", E.path_length(F.col("path")).alias("hops"), F.array_join("path.nodes", ",").alias("nodes"))
 
 
 @query(f"WITH RECURSIVE {_VAR} SELECT DISTINCT start, here AS \"end\" FROM walk WHERE depth BETWEEN 1 AND 3")
 def reachable(spark, sf_dir):
-    return E.reachable(few_customers(spark, sf_dir), from_tables(spark, sf_dir).rels, 3)
+    return E.reachable(customers(spark, sf_dir), from_tables(spark, sf_dir).rels, 3)
 
 
 @query(f"WITH RECURSIVE {_VAR} SELECT start, here AS \"end\", min(depth)::INTEGER AS hops FROM walk GROUP BY start, here")
 def shortest_lengths(spark, sf_dir):
-    return E.shortest_lengths(few_customers(spark, sf_dir), from_tables(spark, sf_dir).rels, 3)
+    return E.shortest_lengths(customers(spark, sf_dir), from_tables(spark, sf_dir).rels, 3)
 
 
 def _far_pairs(spark, sf_dir):
-    starts = few_customers(spark, sf_dir).select(F.col("id").alias("start"))
+    starts = customers(spark, sf_dir).select(F.col("id").alias("start"))
     ends = S.nodes_by_label(from_tables(spark, sf_dir), "Region").select(F.col("id").alias("end"))
-    return starts.join(F.broadcast(ends), how="cross")  # customers of one nation by five regions
+    return starts.join(F.broadcast(ends), how="cross")  # by the regions of the world, a handful
 
 
 _SHORT = f"SELECT start, \"end\", array_to_string(nodes, ',') AS nodes, rels FROM (SELECT start, here AS \"end\", nodes, array_to_string(rels, ',') AS rels, depth, min(depth) OVER (PARTITION BY start, here) AS least FROM walk WHERE here % 8 = 0) WHERE depth = least"
@@ -451,10 +450,10 @@ def all_shortest_paths(spark, sf_dir):
     return found.select("start", "end", F.array_join("path.nodes", ",").alias("nodes"), F.array_join("path.rels", ",").alias("rels"))
 
 
-@query(G + "SELECT DISTINCT a.src AS a, b.dst AS c FROM rels a JOIN rels b ON a.dst = b.src WHERE a.type = 'PLACED' AND b.type = 'CONTAINS' AND a.src % 7 = 0 AND NOT EXISTS (SELECT 1 FROM rels x WHERE x.src = a.src AND x.dst = b.dst)")
+@query(G + "SELECT DISTINCT a.src AS a, b.dst AS c FROM rels a JOIN rels b ON a.dst = b.src WHERE a.type = 'PLACED' AND b.type = 'CONTAINS' AND NOT EXISTS (SELECT 1 FROM rels x WHERE x.src = a.src AND x.dst = b.dst)")
 def triadic_selection(spark, sf_dir):
     g = from_tables(spark, sf_dir)
-    two = E.expand(E.expand(S.nodes_by_label(g, "Customer").where("id % 7 = 0").select(F.col("id").alias("a")), S.rels_of_type(g, "PLACED"), "a", "r1", "b"), S.rels_of_type(g, "CONTAINS"), "b", "r2", "c")
+    two = E.expand(E.expand(S.nodes_by_label(g, "Customer").select(F.col("id").alias("a")), S.rels_of_type(g, "PLACED"), "a", "r1", "b"), S.rels_of_type(g, "CONTAINS"), "b", "r2", "c")
     return E.triads(two.select("a", "c").distinct(), g.rels, "a", "c", closed=False)
 
 
@@ -466,19 +465,19 @@ def degrees(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_VAR} SELECT start, here AS \"end\", depth, array_to_string(nodes, ',') AS nodes FROM walk WHERE depth = 2")
 def traverse_path_unique(spark, sf_dir):
-    found = traversal.traverse(few_customers(spark, sf_dir), from_tables(spark, sf_dir).rels, 2, traversal.at_depth(2), "rel_path")
+    found = traversal.traverse(customers(spark, sf_dir), from_tables(spark, sf_dir).rels, 2, traversal.at_depth(2), "rel_path")
     return found.select("start", "end", "depth", F.array_join("nodes", ",").alias("nodes"))
 
 
 @query(f"WITH RECURSIVE {_VAR} SELECT start, here AS \"end\", min(depth) AS depth FROM walk GROUP BY start, here")
 def traverse_global(spark, sf_dir):
-    return traversal.traverse(few_customers(spark, sf_dir), from_tables(spark, sf_dir).rels, 3).select("start", "end", "depth")
+    return traversal.traverse(customers(spark, sf_dir), from_tables(spark, sf_dir).rels, 3).select("start", "end", "depth")
 
 
 @query(f"WITH RECURSIVE {_VAR}, c AS (SELECT w.start, w.here, list_sum(list_transform(w.rels, lambda x: 1.0 + x % 5)) AS cost FROM walk w) SELECT start, here AS \"end\", min(coalesce(cost, 0.0)) AS cost FROM c GROUP BY start, here")
 def cheapest(spark, sf_dir):
     rels = from_tables(spark, sf_dir).rels.where("type <> 'SUPPLIER_IN'")
-    return traversal.cheapest(few_customers(spark, sf_dir), rels, 1.0 + F.col("id") % 5)
+    return traversal.cheapest(customers(spark, sf_dir), rels, 1.0 + F.col("id") % 5)
 
 
 ORACLE_SQL["cheapest"] = ORACLE_SQL["cheapest"].replace("ON r.src = w.here", "ON r.src = w.here AND r.type <> 'SUPPLIER_IN'").replace("depth < 3", "depth < 4")
@@ -714,10 +713,13 @@ def updates_of_nodes(spark, sf_dir):
     return changed.agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count(F.when(V.has_labels(F.col("labels"), "Nation"), 1)).alias("nations"), F.round(F.sum("amount"), 2).alias("amounts"))
 
 
-@query(G + "SELECT (SELECT count(*) FROM nodes WHERE NOT (label = 'Nation' AND id % 3 = 0)) AS nodes_left, (SELECT count(*) FROM rels WHERE NOT ((src % 8 = 1 AND src % 3 = 0) OR (dst % 8 = 1 AND dst % 3 = 0))) AS rels_left")
+@query(
+    G + ", gone AS (SELECT id FROM nodes WHERE label = 'Nation' AND name LIKE '%3') SELECT (SELECT count(*) FROM nodes WHERE id NOT IN (FROM gone)) AS nodes_left, "
+    "(SELECT count(*) FROM rels WHERE src NOT IN (FROM gone) AND dst NOT IN (FROM gone)) AS rels_left"
+)
 def detach_delete(spark, sf_dir):
     g = from_tables(spark, sf_dir)
-    left = updates.detach_delete_nodes(g, S.nodes_by_label(g, "Nation").where("id % 3 = 0").select("id"))
+    left = updates.detach_delete_nodes(g, S.seek_suffix(S.nodes_by_label(g, "Nation"), "name", "3").select("id"))
     return left.nodes.agg(F.count("*").alias("nodes_left")).join(left.rels.agg(F.count("*").alias("rels_left")), how="cross")
 
 
