@@ -308,7 +308,7 @@ def plan_sequences(
     most: int,
     most_docs: int | None = None,
     most_cost: float | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
     rule: str = "dot",
 ) -> list[tuple[int, int, int, int, int, int]]:
     """Vector best fit over the kinds of piece: (length, from, to, per bin, first bin, offset).
@@ -383,7 +383,7 @@ def pack(
     end_id: int = 0,
     most_docs: int | None = None,
     most_cost: float | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
     rule: str = "dot",
     key: str = "doc_id",
     text: str = "text",
