@@ -1,7 +1,7 @@
 """Every core query against its SQL in DuckDB."""
 
 import pytest
-from conftest import rows_of, rows_of_sql
+from compare import rows_of, rows_of_sql
 
 from chronoweave.plans.queries import ORACLE_SQL, QUERIES
 
