@@ -358,7 +358,8 @@ def similar_texts(
         wanted = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
         if wanted.limit(most_sent + 1).count() <= most_sent:  # 8 bytes each; more are joined by a shuffle
             wanted = F.broadcast(wanted)
-        texts = write_shared(own.select("text_key", "text").join(wanted, "text_key", "left_semi"), "compared").dropDuplicates(["text_key"])
+        # each text once, written: the joins below have plain sides, which Spark splits where a hub has a crowd
+        texts = write_shared(own.select("text_key", "text").join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]), "compared")
         s, t = (texts.select(F.col("text_key").alias(c), F.col("text").alias(n)) for c, n in (("a", "x"), ("b", "y")))
         return write_shared(pairs.join(s, "a").join(t, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "verified")
 
