@@ -175,3 +175,12 @@ def test_full_text_index_round_trip(spark, tmp_path):
     index = fulltext.TextIndex.load(spark, f"{tmp_path}/ix")
     assert [r["id"] for r in fulltext.search(index, "Blue FISH").collect()] == [1, 2]
     assert [r["id"] for r in fulltext.search(index, "blue fish", every=True).collect()] == [1]
+
+
+def test_paths_between_pairs_leave_out_what_leads_to_no_end(spark, graph):
+    fan = spark.range(100, 160).select("id", F.lit("T").alias("type"), F.lit(1).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
+    kept = E.towards(E.oriented(graph.rels.unionByName(fan)).select("from_id", "rel", "to_id"), spark.createDataFrame([(4,)], "id long"), 3)
+    assert pairs(kept, "rel", "left") == [(1, 2), (2, 1), (3, 0), (4, 1), (5, 2)]
+    want = spark.createDataFrame([(1, 4), (2, 1)], "start long, end long")
+    found = R.all_paths(want, graph.rels.unionByName(fan), 3)
+    assert pairs(found, "start", "end", F.array_join("path.rels", "-")) == [(1, 4, "1-2-3"), (1, 4, "4-3"), (2, 1, "2-5")]
