@@ -184,3 +184,14 @@ def test_paths_between_pairs_leave_out_what_leads_to_no_end(spark, graph):
     want = spark.createDataFrame([(1, 4), (2, 1)], "start long, end long")
     found = R.all_paths(want, graph.rels.unionByName(fan), 3)
     assert pairs(found, "start", "end", F.array_join("path.rels", "-")) == [(1, 4, "1-2-3"), (1, 4, "4-3"), (2, 1, "2-5")]
+
+
+def test_shortest_paths_write_no_level_of_nodes_that_lead_nowhere(spark, graph, monkeypatch):
+    sizes, settle = [], E.settle
+    monkeypatch.setattr(E, "settle", lambda df, name: (out := settle(df, name), sizes.append((name, out.count())))[0])
+    fan = spark.range(100, 160).select("id", F.lit("T").alias("type"), F.lit(1).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
+    want = spark.createDataFrame([(1, 4)], "start long, end long")
+    for every in (False, True):
+        found = E.shortest_paths(want, graph.rels.unionByName(fan), 3, every=every)
+        assert pairs(found, F.array_join("path.rels", "-")) == [("4-3",)]
+    assert max(n for name, n in sizes if name == "arrivals") <= 2
