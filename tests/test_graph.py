@@ -195,3 +195,31 @@ def test_shortest_paths_write_no_level_of_nodes_that_lead_nowhere(spark, graph,
         found = E.shortest_paths(want, graph.rels.unionByName(fan), 3, every=every)
         assert pairs(found, F.array_join("path.rels", "-")) == [("4-3",)]
     assert max(n for name, n in sizes if name == "arrivals") <= 2
+
+
+def _written(monkeypatch, module):
+    """Names and rows of what is written from here on."""
+    sizes, settle = [], module.settle
+    for m in (E, R):
+        monkeypatch.setattr(m, "settle", lambda df, name: (out := settle(df, name), sizes.append((name, out.count())))[0])
+    return sizes
+
+
+def _ladder(spark, graph):
+    """Three nodes after each other, the last with 900 leaves, two ways to the third."""
+    rows = [(1, 1, 2), (2, 2, 3), (3, 1, 3), (4, 3, 1)] + [(10 + i, 3, 100 + i) for i in range(900)] + [(2000, 2, 100)]
+    rels = spark.createDataFrame([(i, "T", a, b, float(i % 7)) for i, a, b in rows], graph.rels.schema)
+    least = {1: 0, 2: 1, 3: 1} | {100 + i: 2 for i in range(900)}
+    return rels, least
+
+
+@pytest.mark.parametrize("share", [2_000_000, 50])
+def test_reachable_and_lengths_write_no_last_level_and_split_hubs(spark, graph, monkeypatch, share):
+    rels, least = _ladder(spark, graph)
+    monkeypatch.setattr(E, "SHARE", share)
+    sizes = _written(monkeypatch, E)
+    one = spark.createDataFrame([(1,)], "id long")
+    assert pairs(E.shortest_lengths(one, rels, 2), "end", "hops") == sorted(least.items())
+    assert pairs(E.reachable(one, rels, 2), "end") == [(n,) for n in sorted(least)]
+    assert max(n for name, n in sizes if name == "level") == 2
+    assert pairs(E.shortest_lengths(one, rels, 9), "end", "hops") == sorted(least.items())
