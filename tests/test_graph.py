@@ -223,3 +223,26 @@ def test_reachable_and_lengths_write_no_last_level_and_split_hubs(spark, graph,
     assert pairs(E.reachable(one, rels, 2), "end") == [(n,) for n in sorted(least)]
     assert max(n for name, n in sizes if name == "level") == 2
     assert pairs(E.shortest_lengths(one, rels, 9), "end", "hops") == sorted(least.items())
+
+
+@pytest.mark.parametrize("share", [2_000_000, 50])
+def test_traversal_writes_no_last_level_and_takes_the_smallest_relationships(spark, graph, monkeypatch, share):
+    rels, least = _ladder(spark, graph)
+    monkeypatch.setattr(E, "SHARE", share)
+    sizes = _written(monkeypatch, R)
+    found = R.traverse(spark.createDataFrame([(1,)], "id long"), rels, 2)
+    assert pairs(found, "end", "depth") == sorted(least.items())
+    paths = {r["end"]: (r["nodes"], r["rels"]) for r in found.collect()}
+    assert paths[100] == ([1, 2, 100], [1, 2000]) and paths[101] == ([1, 3, 101], [3, 11])
+    assert max(n for name, n in sizes if name == "traversal") == 2
+
+
+@pytest.mark.parametrize("share", [2_000_000, 50])
+def test_cheapest_writes_no_nodes_that_lead_nowhere(spark, graph, monkeypatch, share):
+    rels, least = _ladder(spark, graph)
+    monkeypatch.setattr(E, "SHARE", share)
+    sizes = _written(monkeypatch, R)
+    got = dict(pairs(R.cheapest(spark.createDataFrame([(1,)], "id long"), rels, F.col("weight")), "end", "cost"))
+    assert got == {1: 0.0, 2: 1.0, 3: 3.0} | {100 + i: 3.0 + (10 + i) % 7 for i in range(900)} | {100: min(3.0 + 10 % 7, 1.0 + 2000 % 7)}
+    assert max(n for name, n in sizes if name == "costs") == 3
+    assert set(dict(pairs(R.cheapest(spark.createDataFrame([(1,)], "id long"), rels, F.col("weight"), most_cost=3.0), "end", "cost")).values()) <= {0.0, 1.0, 3.0}
