@@ -246,3 +246,12 @@ def test_cheapest_writes_no_nodes_that_lead_nowhere(spark, graph, monkeypatch, s
     assert got == {1: 0.0, 2: 1.0, 3: 3.0} | {100 + i: 3.0 + (10 + i) % 7 for i in range(900)} | {100: min(3.0 + 10 % 7, 1.0 + 2000 % 7)}
     assert max(n for name, n in sizes if name == "costs") == 3
     assert set(dict(pairs(R.cheapest(spark.createDataFrame([(1,)], "id long"), rels, F.col("weight"), most_cost=3.0), "end", "cost")).values()) <= {0.0, 1.0, 3.0}
+
+
+def test_triads_are_dealt_into_tasks_of_bounded_size(spark, graph, monkeypatch):
+    monkeypatch.setattr(E, "SHARE", 100)
+    many = spark.range(3000).select((F.col("id") % 3 + 1).alias("a"), (F.col("id") % 1000).alias("c"))
+    found = E.triads(many, graph.rels, "a", "c", closed=False)
+    rows = found.rdd.glom().map(len).collect()
+    assert len(rows) == 31 and sum(rows) == 2995 and max(rows) < 400
+    assert pairs(E.triads(many, graph.rels, "a", "c", closed=True).distinct(), "a", "c") == [(1, 2), (1, 3), (2, 3), (3, 1), (3, 4)]
