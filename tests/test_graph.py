@@ -255,3 +255,10 @@ def test_triads_are_dealt_into_tasks_of_bounded_size(spark, graph, monkeypatch):
     rows = found.rdd.glom().map(len).collect()
     assert len(rows) == 31 and sum(rows) == 2995 and max(rows) < 400
     assert pairs(E.triads(many, graph.rels, "a", "c", closed=True).distinct(), "a", "c") == [(1, 2), (1, 3), (2, 3), (3, 1), (3, 4)]
+
+
+def test_paths_of_several_lengths_are_walked_once(spark, graph, monkeypatch):
+    sizes = _written(monkeypatch, E)
+    found = E.var_expand(start(spark, 1, 1), graph.rels, "start", "end", 1, 3)
+    assert [n for name, n in sizes if name == "paths"] == [4, 6]
+    assert len(pairs(found, "end", F.array_join("path.rels", "-"))) == 16
