@@ -262,3 +262,42 @@ def test_paths_of_several_lengths_are_walked_once(spark, graph, monkeypatch):
     found = E.var_expand(start(spark, 1, 1), graph.rels, "start", "end", 1, 3)
     assert [n for name, n in sizes if name == "paths"] == [4, 6]
     assert len(pairs(found, "end", F.array_join("path.rels", "-"))) == 16
+
+
+def _shuffled(spark, df):
+    """Bytes that running df shuffles, from the first step that it calls."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def so_far():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = so_far()
+    df().write.format("noop").mode("overwrite").save()
+    return so_far() - before
+
+
+#: Queries over rels from the ids of starts, each of at most two relationships.
+CROWD = {
+    "cheapest": lambda starts, rels: R.cheapest(starts, rels, F.col("weight")),
+    "traverse_global": lambda starts, rels: R.traverse(starts, rels, 2).select("start", "end", "depth"),
+    "shortest_lengths": lambda starts, rels: E.shortest_lengths(starts, rels, 2),
+    "reachable": lambda starts, rels: E.reachable(starts, rels, 2),
+}
+
+
+def _crowd(spark, graph):
+    """300 starts, all with one relationship to the same node, which has 2,000 leaves."""
+    leaf = F.abs(F.xxhash64("id")) + 10_000
+    to, on = (spark.range(n).select(F.col("id") + first, F.lit("T"), a, b, (F.col("id") % 7).cast("double")) for n, first, a, b in (
+        (300, 0, F.col("id"), F.lit(1000)), (2000, 5000, F.lit(1000), leaf)
+    ))
+    return spark.range(300), spark.createDataFrame(to.union(on).collect(), graph.rels.schema)
+
+
+@pytest.mark.parametrize("name", ["cheapest"])
+def test_neighbours_are_sent_once_to_all_starts_that_share_them(spark, graph, name):
+    starts, rels = _crowd(spark, graph)
+    assert _shuffled(spark, lambda: CROWD[name](starts, rels)) < 500_000
+    found = CROWD[name](starts, rels)
+    assert found.count() == 300 * 2001 + 300 * (name != "reachable") and found.select("start", "end").distinct().count() == found.count()
