@@ -295,7 +295,7 @@ def _crowd(spark, graph):
     return spark.range(300), spark.createDataFrame(to.union(on).collect(), graph.rels.schema)
 
 
-@pytest.mark.parametrize("name", ["cheapest", "traverse_global", "shortest_lengths"])
+@pytest.mark.parametrize("name", ["cheapest", "traverse_global", "shortest_lengths", "reachable"])
 def test_neighbours_are_sent_once_to_all_starts_that_share_them(spark, graph, name):
     starts, rels = _crowd(spark, graph)
     assert _shuffled(spark, lambda: CROWD[name](starts, rels)) < 500_000
