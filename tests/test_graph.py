@@ -301,3 +301,16 @@ def test_neighbours_are_sent_once_to_all_starts_that_share_them(spark, graph, na
     assert _shuffled(spark, lambda: CROWD[name](starts, rels)) < 500_000
     found = CROWD[name](starts, rels)
     assert found.count() == 300 * 2001 + 300 * (name != "reachable") and found.select("start", "end").distinct().count() == found.count()
+
+
+def test_var_expand_shuffles_relationships_once(spark, graph):
+    """Three relationships of a path and 20,000 others; before, each length shuffled all."""
+    other = spark.range(20_000).select(F.col("id") + 100, F.lit("T"), F.abs(F.xxhash64("id")), F.abs(F.xxhash64("id", "id")), F.lit(1.0))
+    rels = graph.rels.where("id < 4").unionByName(spark.createDataFrame(other.collect(), graph.rels.schema))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if they were many
+    try:
+        once = _shuffled(spark, lambda: rels.select("id", "src", "dst").repartition("src"))
+        assert _shuffled(spark, lambda: E.var_expand(start(spark, 1), rels, "start", "end", 1, 3)) < 2 * once
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
